@@ -60,7 +60,7 @@ def _pack_group(round_: int, capacity: int, segments: int, loss_limit: int):
         tokens = table.column("n").to_numpy().astype(np.int64)
         number = pack(tokens, table.column("loss").to_numpy().astype(np.int64), capacity, segments, loss_limit)
         fill = np.bincount(number, tokens)[number] / capacity
-        batch = (np.int64(round_) << 61) + (table.column("grp").to_numpy().astype(np.int64) << 24) + number
+        batch = (np.int64(round_) << 52) + (table.column("grp").to_numpy().astype(np.int64) << 20) + number
         return pa.table([*(table.column(c) for c in ("id", "start", "n", "loss", "h")), pa.array(batch), pa.array(fill)], ["id", "start", "n", "loss", "h", "batch", "fill"])
 
     return run
