@@ -2,27 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epiloom.operators.islands import merged_intervals, whole_ms
+from epiloom.plans import signals, timejoins  # noqa: F401
+from epiloom.plans.registry import QUERIES, SQL, query  # noqa: F401
 from epiloom.session import load
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def put(f):
-        QUERIES[name] = f
-        if sql is not None:
-            SQL[name] = sql
-        return f
-
-    return put
-
 
 def interval_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both interval streams as (k = stream and episode, start_ms, end_ms)."""
