@@ -87,7 +87,7 @@ class _Held:
 
     def digests(self) -> Iterator[tuple[tuple, slice, tuple[np.ndarray, ...]]]:
         whole = self.shrink()
-        if whole is None:
+        if whole is None or not len(whole[0]):
             return
         at = np.flatnonzero(np.append(True, whole[0][1:] != whole[0][:-1]))
         for a, z in zip(at, np.append(at[1:], len(whole[0]))):

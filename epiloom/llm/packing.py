@@ -66,7 +66,7 @@ def _pack_group(round_: int, capacity: int, segments: int, loss_limit: int):
     return run
 
 
-def packed(items: DataFrame, capacity: int = 2048, segments: int = 256, loss_limit: int = 1536, group_items: int = GROUP_ITEMS) -> DataFrame:
+def packed(items: DataFrame, capacity: int = 2048, segments: int = 256, loss_limit: int = 1792, group_items: int = GROUP_ITEMS) -> DataFrame:
     """Assigns every item (id, n_tokens, n_loss) to batches: (id, start, n_tokens, batch), one row for each piece.
 
     An item longer than ``capacity`` is cut into pieces of ``capacity`` tokens and a rest; no other item is cut. ``start``
