@@ -1,0 +1,96 @@
+import itertools
+import random
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from epiloom.operators import folds
+
+
+def test_dwell():
+    assert folds.dwell(list("aabaa"), [0, 1, 2, 2.2, 3], 0.5) == list("aaaaa")
+    assert folds.dwell(list("abbb"), [0, 0.1, 1, 2], 0.5) == list("abbb")  # the first run is never absorbed
+    assert folds.dwell([], [], 1) == []
+
+
+def test_prominent_minima():
+    v = np.array([5, 1, 5, 4, 5, 0, 5.0])
+    t = np.arange(7.0)
+    assert folds.prominent_minima(v, t, 2, 0) == [1, 5]
+    assert folds.prominent_minima(v, t, 0.5, 3) == [1, 5]
+    assert folds.prominent_minima(v, t, 0.5, 1) == [1, 3, 5]
+
+
+def test_alternating():
+    assert folds.alternating(["release", "contact", "contact", "release", "release"], [0, 1, 2, 2.1, 2.5], 0.3) == [1, 3]
+
+
+def test_thinned():
+    assert folds.thinned([0, 0.2, 0.5, 0.6, 1.1], 0.5) == [0, 2, 4]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.floats(0.05, 9), min_size=1, max_size=8), st.lists(st.tuples(st.floats(0, 40), st.floats(0, 1)), max_size=12))
+def test_banded_is_in_the_band(lengths, minima):
+    ends = np.cumsum(lengths)
+    out = folds.banded(list(zip(np.append(0, ends[:-1]).tolist(), ends.tolist())), minima)
+    assert all(1.3 - 1e-9 <= z - a <= 4.0 + 1e-9 for a, z in out)
+    assert all(p[1] <= q[0] + 1e-9 for p, q in zip(out, out[1:]))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.floats(1.7, 3.5), min_size=1, max_size=8), st.lists(st.tuples(st.floats(0, 25), st.floats(0, 1)), max_size=12))
+def test_refined_keeps_the_band(lengths, minima):
+    bounds = np.append(0, np.cumsum(lengths)).tolist()
+    out = [b for b, _ in folds.refined(bounds, minima)]
+    assert out[0] == bounds[0] and out[-1] == bounds[-1] and len(out) == len(bounds)
+    assert all(abs(a - b) <= 0.4 for a, b in zip(out, bounds))
+    with pytest.raises(ValueError):
+        folds.refined(bounds, minima, shift=0.7)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.integers(1, 4), st.integers(1, 5), st.integers(0, 10_000))
+def test_assignment_is_optimal(n, m, seed):
+    cost = np.random.default_rng(seed).random((n, m)).round(2)
+    got = sum(cost[i, j] for i, j in folds.assignment(cost))
+    small, large = (cost, m) if n <= m else (cost.T, n)
+    best = min(sum(small[i, p[i]] for i in range(len(small))) for p in itertools.permutations(range(large), len(small)))
+    assert abs(got - best) < 1e-9
+
+
+def test_assignment_leaves_out_infeasible_pairs():
+    assert folds.assignment(np.array([[1e6, 0.1], [1e6, 0.2]])) == [(0, 1)]
+
+
+def test_greedy_pairs_and_nearest():
+    assert folds.greedy_pairs(np.array([[0.9, 0.8], [0.85, 0.1]]), 0.3) == [(0, 0)]
+    assert folds.greedy_nearest([1.0, 1.1], [1.05, 3.0], 0.15) == [(0, 0)]
+
+
+def test_monotone_alignment():
+    rng = random.Random(0)
+    s = np.array([[rng.random() for _ in range(4)] for _ in range(3)])
+    best = max(sum(s[i, j] for i, j in zip(r, c)) for k in range(4) for r in itertools.combinations(range(3), k) for c in itertools.combinations(range(4), k))
+    assert abs(folds.monotone_alignment(s) - best) < 1e-12
+
+
+def test_suppressed():
+    boxes = np.array([[0, 0, 10, 10], [1, 1, 10, 10], [20, 20, 30, 30], [-5, -5, 40, 40]], dtype=float)
+    assert folds.suppressed(boxes, np.array([0.9, 0.8, 0.7, 0.6])) == [0, 2]
+
+
+def test_track():
+    box = lambda x: np.array([x, 0, x + 10, 10.0])
+    frames = [(0, 0.0, [(box(0), True)]), (1, 0.1, [(box(1), False), (box(50), False)]), (2, 0.2, []), (3, 1.0, [(box(0), True)])]
+    assert folds.track(frames) == [(0, 0, 0, "strong"), (1, 0, 0, "weak"), (2, 0, -1, "predicted"), (3, 1, 0, "strong")]
+    with pytest.raises(ValueError):
+        folds.track([(0, 1.0, []), (1, 1.0, [])])
+
+
+def test_bleu():
+    a = "the cup is on the mat".split()
+    assert folds.bleu(a, a) == pytest.approx(1.0)
+    assert folds.bleu([], a) == 0.0 and folds.bleu(["x"], a) == 0.0
