@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from epiloom.session import checkpointed, shuffle_partitions
 
-#: Clusters or values a task holds before it clusters them; a task's memory is bounded by it.
+#: Clusters or values a task holds before it clusters them; its memory is bounded by this and by twice its digests' clusters.
 HELD = 1_000_000
 #: Bytes of estimates sent to the executors at once; more are counted in several passes.
 SENT_BYTES = 32_000_000
@@ -60,10 +60,10 @@ def quantiles(lo: np.ndarray, hi: np.ndarray, w: np.ndarray, qs: np.ndarray) ->
 
 
 class _Held:
-    """Clusters of many digests, clustered whenever more than HELD are held."""
+    """Clusters of many digests, clustered again whenever more than HELD, or twice what they need, are held."""
 
     def __init__(self, delta: float) -> None:
-        self.delta, self.ids, self.keys, self.parts, self.n = delta, {}, [], [], 0
+        self.delta, self.ids, self.keys, self.parts, self.n, self.limit = delta, {}, [], [], 0, HELD
 
     def id(self, key: tuple) -> int:
         if key not in self.ids:
@@ -74,15 +74,16 @@ class _Held:
     def add(self, *part: np.ndarray) -> None:
         self.parts.append(part)
         self.n += len(part[0])
-        if self.n > HELD:
+        if self.n > self.limit:
             self.shrink()
 
     def shrink(self) -> tuple[np.ndarray, ...] | None:
         if not self.parts:
             return None
         whole = cluster(*(np.concatenate(x) for x in zip(*self.parts)), self.delta)
-        # If most digests are still smaller than delta allows, what is left can exceed HELD; then it is held whole.
-        self.parts, self.n = [whole], len(whole[0]) - min(len(whole[0]), HELD // 2)
+        # Many digests may need more than HELD clusters, delta / 2 each at most: then as many again are awaited, so that
+        # the work of clustering stays in proportion to the input.
+        self.parts, self.n, self.limit = [whole], len(whole[0]), max(HELD, 2 * len(whole[0]))
         return whole
 
     def digests(self) -> Iterator[tuple[tuple, slice, tuple[np.ndarray, ...]]]:
