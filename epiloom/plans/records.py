@@ -9,7 +9,7 @@ from epiloom.functions import geometry as G
 from epiloom.functions import text as T
 from epiloom.operators import aggregates as A
 from epiloom.operators import signal as S
-from epiloom.plans.registry import fixed, query, sql_fixed
+from epiloom.plans.registry import fixed, query, sql_fixed, sql_whole, whole
 from epiloom.plans.signals import CE, KEYS, ORDER, contacts
 from epiloom.session import load
 
@@ -414,25 +414,35 @@ def a15(spark, sf_dir):
 
 @query(
     "a18_fraction_summary",
-    f"""WITH {Q} SELECT task, count(CASE WHEN coalesce(brightness_out_frac, 0) > 0 THEN 1 END) AS clips_with, {sql_fixed("sum(coalesce(brightness_out_frac, 0) * duration_s) / sum(duration_s)")} AS weighted FROM q GROUP BY task""",
+    f"""WITH {Q} SELECT task, count(CASE WHEN coalesce(brightness_out_frac, 0) > 0 THEN 1 END) AS clips_with, {sql_fixed(f"sum({sql_whole('coalesce(brightness_out_frac, 0)', 1e6)} * {sql_whole('duration_s', 1e3)})::DOUBLE / (sum({sql_whole('duration_s', 1e3)})::DOUBLE * 1e6)")} AS weighted FROM q GROUP BY task""",
 )
 def a18(spark, sf_dir):
     """Clips with any out-of-range frames, and their share weighted by duration; NULL counts as 0."""
-    f = F.coalesce("brightness_out_frac", F.lit(0.0))
-    return clips(spark, sf_dir).groupBy("task").agg(F.count_if(f > 0).alias("clips_with"), fixed(F.try_divide(F.sum(f * F.col("duration_s")), F.sum("duration_s"))).alias("weighted"))
+    f, d = F.coalesce("brightness_out_frac", F.lit(0.0)), whole(F.col("duration_s"), 1e3)
+    return clips(spark, sf_dir).groupBy("task").agg(F.count_if(f > 0).alias("clips_with"), fixed(F.try_divide(F.sum((whole(f, 1e6) * d).cast("decimal(38,0)")).cast("double"), F.sum(d).cast("double") * 1e6)).alias("weighted"))
+
+
+def _sql_mean(x: str) -> str:
+    w = f"{sql_whole(x, 1e6)} * {sql_whole('duration_s', 1e3)}"
+    return f"sum({w}) FILTER ({x} IS NOT NULL)::DOUBLE / nullif(sum({sql_whole('duration_s', 1e3)}) FILTER ({x} IS NOT NULL), 0)::DOUBLE / 1e6"
 
 
 @query(
     "a19_composite",
-    f"""WITH {Q}, d AS (SELECT task, sum(CASE WHEN hand_visible_rate IS NOT NULL THEN hand_visible_rate * duration_s END) / nullif(sum(CASE WHEN hand_visible_rate IS NOT NULL THEN duration_s END), 0) AS x,
-      sum(CASE WHEN hand_central50_rate IS NOT NULL THEN hand_central50_rate * duration_s END) / nullif(sum(CASE WHEN hand_central50_rate IS NOT NULL THEN duration_s END), 0) AS y FROM q GROUP BY task)
+    f"""WITH {Q}, d AS (SELECT task, {_sql_mean("hand_visible_rate")} AS x, {_sql_mean("hand_central50_rate")} AS y FROM q GROUP BY task)
     SELECT task, {sql_fixed("x * 100", 4)} AS visible, {sql_fixed("y * 100", 4)} AS central, {sql_fixed("(x + y) * 50", 4)} AS overall FROM d""",
 )
 def a19(spark, sf_dir):
     """Duration-weighted means of two dimensions and their mean; NULL where one was never assessed."""
-    mean = lambda c: F.try_divide(F.sum(F.when(F.col(c).isNotNull(), F.col(c) * F.col("duration_s"))), F.sum(F.when(F.col(c).isNotNull(), F.col("duration_s"))))
-    d = clips(spark, sf_dir).groupBy("task").agg(mean("hand_visible_rate").alias("x"), mean("hand_central50_rate").alias("y"))
-    return d.select("task", fixed(F.col("x") * 100, 4).alias("visible"), fixed(F.col("y") * 100, 4).alias("central"), fixed((F.col("x") + F.col("y")) * 50, 4).alias("overall"))
+    d = whole(F.col("duration_s"), 1e3)
+
+    def mean(c):
+        known = F.col(c).isNotNull()
+        total = F.sum(F.when(known, (whole(F.col(c), 1e6) * d).cast("decimal(38,0)"))).cast("double")
+        return F.try_divide(F.try_divide(total, F.sum(F.when(known, d)).cast("double")), F.lit(1e6))
+
+    m = clips(spark, sf_dir).groupBy("task").agg(mean("hand_visible_rate").alias("x"), mean("hand_central50_rate").alias("y"))
+    return m.select("task", fixed(F.col("x") * 100, 4).alias("visible"), fixed(F.col("y") * 100, 4).alias("central"), fixed((F.col("x") + F.col("y")) * 50, 4).alias("overall"))
 
 
 @query(

@@ -31,3 +31,12 @@ def fixed(c: Column, digits: int = 6) -> Column:
 def sql_fixed(x: str, digits: int = 6) -> str:
     scale = f"1e{digits}"
     return f"(floor(({x}) * {scale} + 0.5) / {scale})"
+
+
+def whole(c: Column, scale: float) -> Column:
+    """c times ``scale``, as a whole number whose sums don't depend on their order; see sql_whole."""
+    return F.floor(c * F.lit(float(scale)) + F.lit(0.5)).cast("decimal(38,0)")
+
+
+def sql_whole(x: str, scale: float) -> str:
+    return f"CAST(floor(({x}) * {float(scale)} + 0.5) AS BIGINT)"
