@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 
 def laplacian(g: np.ndarray) -> np.ndarray:
@@ -66,7 +67,10 @@ def _frames(gray: pd.Series, width: pd.Series, height: pd.Series):
         yield a.reshape(int(h), int(w)) if a.size and a.size == w * h else None
 
 
-@F.pandas_udf("mean DOUBLE, dark DOUBLE, light DOUBLE, laplacian DOUBLE, sharpness DOUBLE, masked BOOLEAN, quality DOUBLE, phash STRING")
+METRICS = StructType([StructField(c, DoubleType()) for c in ("mean", "dark", "light", "laplacian", "sharpness")] + [StructField("masked", BooleanType()), StructField("quality", DoubleType()), StructField("phash", StringType())])
+
+
+@F.pandas_udf(METRICS)
 def frame_metrics(gray: pd.Series, width: pd.Series, height: pd.Series) -> pd.DataFrame:
     """The measures of each frame; all NULL for a frame that is NULL or not as large as it says."""
     out = []
