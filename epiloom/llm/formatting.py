@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from epiloom.session import stored
+
 #: White space, control and format characters, punctuation of all kinds, and the ASCII signs used as punctuation.
 MARK = r"[\s\p{Z}\p{Cf}\u0000\u0002-\u001f\u007f-\u009f\p{P}$+<=>^`|~]"
 #: One word as a label: a word, then a colon or an equals sign, with marks or spaces between.
@@ -26,7 +28,9 @@ def canonical(text: Column) -> Column:
     """
     one_case = F.lower(F.upper(text))
     parted = F.regexp_replace(one_case, rf"(?<=\p{{Nd}})(?:{MARK}{{2,}}|[\s\p{{Z}}])(?=\p{{Nd}})", "\u0001")
-    return F.regexp_replace(parted, rf"(?<!\p{{Nd}}){MARK}|{MARK}(?!\p{{Nd}})", "")
+    numbers = F.regexp_replace(parted, rf"(?<!\p{{Nd}}){MARK}|{MARK}(?!\p{{Nd}})", "")
+    # Most texts have no number, and need no look at what is beside a mark.
+    return F.when(text.rlike(r"\p{Nd}"), numbers).otherwise(F.regexp_replace(one_case, f"{MARK}+", ""))
 
 
 def canonical_fields(text: Column) -> Column:
@@ -38,7 +42,8 @@ def canonical_fields(text: Column) -> Column:
     parts = F.split(tidy, rf"(?={LABEL})")
     parts = F.transform(parts, lambda p: F.regexp_replace(p, r"^[\s\p{P}\p{S}]*\p{P}?(?=\p{L})", ""))
     labelled = F.filter(F.transform(parts, lambda p: canonical(p)), lambda p: p != "")
-    is_fields = (F.regexp_count(tidy, F.lit(LABEL)) >= 2) & tidy.rlike(rf"^[\s\p{{Z}}\p{{P}}\p{{S}}]*{LABEL}")
+    signs = F.length(text) - F.length(F.translate(text, ":=：", ""))
+    is_fields = (signs >= 2) & (F.regexp_count(tidy, F.lit(LABEL)) >= 2) & tidy.rlike(rf"^[\s\p{{Z}}\p{{P}}\p{{S}}]*{LABEL}")
     # Between label and value, too, any mark will do.
     return F.when(is_fields, F.concat(F.lit("\u0002"), F.array_join(F.array_sort(labelled), "\u0001"))).otherwise(canonical(text))
 
@@ -90,8 +95,9 @@ def copies(df: DataFrame, id_: str, text: str, swapped: tuple[str, str]) -> Data
     """
     rows = df.where(F.col(id_).isNotNull())
     groups = _raw_groups(rows, id_, text, swapped).where("content")
-    groups = groups.withColumn("raw", _digest("t", "a", "b"))
-    firsts = groups.groupBy("key").agg(F.min("first_raw").alias("first_id"), F.sum("n").alias("all"), F.count_if(F.col("n") > 1).alias("repeated"), F.count(F.lit(1)).alias("variants"))
+    # Written once: the canonical forms are needed twice, and cost more than the reading.
+    groups = stored(groups.select("key", _digest("t", "a", "b").alias("raw"), "n", "first_raw"))
+    firsts = groups.groupBy("key").agg(F.min("first_raw").alias("first_id"), F.sum("n").alias("all"))
     # Only sets of several records matter below.
     firsts = firsts.where("all > 1").select("key", "first_id")
     members = groups.select("key", "raw", "n").join(firsts, "key").select("raw", "n", "first_id")
