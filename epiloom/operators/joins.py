@@ -6,40 +6,59 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _union(left: DataFrame, right: DataFrame, keys: list[str], t: str, payload: list[str]) -> DataFrame:
-    """Left rows (as one struct) and right rows in one series by key and time; _side 0 is the left."""
-    l = left.select(*keys, t, F.lit(0).alias("_side"), F.struct("*").alias("_l"), *[F.lit(None).cast(right.schema[p].dataType).alias(f"r_{p}") for p in payload], F.lit(None).cast(right.schema[t].dataType).alias("r_t"))
-    r = right.where(F.col(t).isNotNull()).select(*keys, t, F.lit(1).alias("_side"), F.lit(None).cast(l.schema["_l"].dataType).alias("_l"), *[F.col(p).alias(f"r_{p}") for p in payload], F.col(t).alias("r_t"))
-    return l.unionByName(r)
+#: Seconds of one slice of a series in the as-of joins.
+SLICE = 60.0
+
+
+def _neighbours(left: DataFrame, right: DataFrame, keys: list[str], t: str, payload: list[str], tie: list[str], width: float = SLICE) -> DataFrame:
+    """The left rows as ``_l``, with the right row before (``_b``) and the one at or after (``_a``) as structs of r_t and r_payload.
+
+    Both tables go into one series by key, cut into slices of time, so that a key with most rows is spread over many tasks
+    and no row is multiplied. Within a slice, two running windows, one along and one against the time, find the neighbours;
+    from the first and last right row of each slice, those of slices without one are filled in. Right rows with a NULL in a
+    key or the time match nothing; such left rows find nothing.
+    """
+    l = left.select(*keys, F.col(t).cast("double").alias("_t"), F.lit(0).alias("_side"), F.struct("*").alias("_l"), F.lit(None).cast("double").alias("r_t"), *[F.lit(None).cast(right.schema[p].dataType).alias(f"r_{p}") for p in payload])
+    known = [F.col(k).isNotNull() for k in [*keys, t]]
+    r = right.where(_all(known))
+    r = r.select(*keys, F.col(t).cast("double").alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(l.schema["_l"].dataType).alias("_l"), F.col(t).cast("double").alias("r_t"), *[F.col(p).alias(f"r_{p}") for p in payload])
+    both = l.unionByName(r).withColumn("_slice", F.floor(F.col("_t") / width))
+    part = [*keys, "_slice"]
+    order = ["_t", "_side", *[f"r_{c}" for c in tie]]
+    hit = F.when(F.col("_side") == 1, F.struct("r_t", *[f"r_{c}" for c in tie], *[f"r_{p}" for p in payload if p not in tie]))
+    so_far = lambda cols: Window.partitionBy(*part).orderBy(*cols).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_hit", hit).withColumn("_b", F.last("_hit", ignorenulls=True).over(so_far(order))).withColumn("_a", F.last("_hit", ignorenulls=True).over(so_far([F.desc(c) for c in order])))
+    ends = both.groupBy(*part).agg(F.min("_hit").alias("_first"), F.max("_hit").alias("_last"))
+    others = lambda o: Window.partitionBy(*keys).orderBy(o).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(part)], F.last("_last", ignorenulls=True).over(others("_slice")).alias("_before"), F.last("_first", ignorenulls=True).over(others(F.desc("_slice"))).alias("_after"))
+    rows = both.where("_side = 0").join(ends, _all([F.col(c) == F.col(f"_k{i}") for i, c in enumerate(part)]), "left")
+    return rows.select("_l", "_t", F.coalesce("_b", "_before").alias("_b"), F.coalesce("_a", "_after").alias("_a"))
+
+
+def _all(tests: list[Column]) -> Column:
+    out = tests[0]
+    for x in tests[1:]:
+        out = out & x
+    return out
 
 
 def asof_forward(left: DataFrame, right: DataFrame, keys: list[str], t: str, payload: list[str], tie: list[str], clamp: bool = True) -> DataFrame:
     """Each left row with the first right row at or after its time (r_t and the payload); past the end, with the last one.
 
-    One union and two windows over the same sort: no rows are multiplied, whatever the numbers on either side. ``tie`` are
-    payload columns ordering right rows of one time. A left row without any right row of its key gets NULLs.
+    ``tie`` are payload columns ordering right rows of one time. A left row without any right row of its key gets NULLs, and
+    without ``clamp`` so does one past the end.
     """
-    both = _union(left, right, keys, t, payload)
-    order = [t, F.when(F.col("_side") == 0, 0).otherwise(1), *[f"r_{c}" for c in tie]]
-    w = Window.partitionBy(*keys).orderBy(*order)
-    hit = F.when(F.col("_side") == 1, F.struct("r_t", *[f"r_{p}" for p in payload]))
-    ahead = F.first(hit, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    last = F.last(hit, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    found = F.coalesce(ahead, last) if clamp else ahead
-    return both.withColumn("_r", found).where("_side = 0").select("_l.*", "_r.*")
+    rows = _neighbours(left, right, keys, t, payload, tie)
+    found = F.coalesce("_a", "_b") if clamp else F.col("_a")
+    return rows.withColumn("_r", found).select("_l.*", "_r.r_t", *[f"_r.r_{p}" for p in payload])
 
 
 def asof_nearest(left: DataFrame, right: DataFrame, keys: list[str], t: str, payload: list[str], tie: list[str]) -> DataFrame:
     """Each left row with the right row nearest in time; the earlier one only where strictly nearer."""
-    both = _union(left, right, keys, t, payload)
-    order = [t, F.when(F.col("_side") == 0, 0).otherwise(1), *[f"r_{c}" for c in tie]]
-    w = Window.partitionBy(*keys).orderBy(*order)
-    hit = F.when(F.col("_side") == 1, F.struct("r_t", *[f"r_{p}" for p in payload]))
-    ahead = F.first(hit, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    back = F.last(hit, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    near = both.withColumn("_a", ahead).withColumn("_b", back).where("_side = 0")
-    pick = F.when(F.col("_a").isNull(), F.col("_b")).when(F.col("_b").isNull(), F.col("_a")).when(F.col(t) - F.col("_b.r_t") < F.col("_a.r_t") - F.col(t), F.col("_b")).otherwise(F.col("_a"))
-    return near.withColumn("_r", pick).select("_l.*", "_r.*")
+    rows = _neighbours(left, right, keys, t, payload, tie)
+    a, b = F.col("_a.r_t"), F.col("_b.r_t")
+    pick = F.when(a.isNull(), F.col("_b")).when(b.isNull(), F.col("_a")).when(F.col("_t") - b < a - F.col("_t"), F.col("_b")).otherwise(F.col("_a"))
+    return rows.withColumn("_r", pick).select("_l.*", "_r.r_t", *[f"_r.r_{p}" for p in payload])
 
 
 def interpolated(left: DataFrame, right: DataFrame, keys: list[str], t: str, x: str) -> DataFrame:
@@ -48,13 +67,10 @@ def interpolated(left: DataFrame, right: DataFrame, keys: list[str], t: str, x:
     Of right rows of one time their mean x counts. Left rows need no order and may repeat.
     """
     r = right.where(F.col(x).isNotNull()).groupBy(*keys, t).agg(F.avg(x).alias(x))
-    both = _union(left, r, keys, t, [x])
-    w = Window.partitionBy(*keys).orderBy(t, F.when(F.col("_side") == 0, 0).otherwise(1))
-    hit = F.when(F.col("_side") == 1, F.struct("r_t", f"r_{x}"))
-    rows = both.withColumn("_a", F.first(hit, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))).withColumn("_b", F.last(hit, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_side = 0")
-    ax, bx = F.col(f"_a.r_{x}"), F.col(f"_b.r_{x}")
-    between = bx + (ax - bx) * F.try_divide(F.col(t) - F.col("_b.r_t"), F.col("_a.r_t") - F.col("_b.r_t"))
-    value = F.when(F.col("_a").isNull() & F.col("_b").isNull(), F.lit(0.0)).when(F.col("_a.r_t") == F.col(t), ax).when(F.col("_a").isNull(), bx).when(F.col("_b").isNull(), ax).otherwise(between)
+    rows = _neighbours(left, r, keys, t, [x], [])
+    at, ax, bx = F.col("_t"), F.col(f"_a.r_{x}"), F.col(f"_b.r_{x}")
+    between = bx + (ax - bx) * F.try_divide(at - F.col("_b.r_t"), F.col("_a.r_t") - F.col("_b.r_t"))
+    value = F.when(ax.isNull() & bx.isNull(), F.lit(0.0)).when(F.col("_a.r_t") == at, ax).when(ax.isNull(), bx).when(bx.isNull(), ax).otherwise(between)
     return rows.select("_l.*", value.alias("value"))
 
 
