@@ -10,7 +10,7 @@ from epiloom.session import checkpointed
 #: Distinct values of one source that one block may hold: the memory of a block's median is bounded by it.
 BLOCK_VALUES = 50_000
 #: Open distinct values of a source from which on the rest is ranked by one bounded sort.
-SORT_VALUES = 32
+SORT_VALUES = 128
 
 
 def _rank(num: int, den: int, n: Column) -> Column:
