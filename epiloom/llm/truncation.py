@@ -29,6 +29,8 @@ PROSE_SHARE = 0.5
 FINAL_SHARE, DOMINANT_SHARE = 0.02, 0.05
 #: Abbreviations that don't end a sentence.
 ABBREVIATIONS = ("approx", "i.e", "e.g", "cf", "vs", "ca", "fig", "no", "z.b", "bzw", "p.ex", "p.ej", "ref", "dr", "mr", "mrs")
+#: The beginnings of those with an inner point, too.
+_UNENDED = {*ABBREVIATIONS, *(a.partition(".")[0] for a in ABBREVIATIONS)}
 
 _END = re.compile(r"[.!?。！？](?:[\"'”’»)\]*_]|\s*👍)*$")
 _BREAK = re.compile(r"(?:[.!?…][\"'”’»)\]]*\s+|[。！？][」』\"'”’»)\]]*\s*|\n+)")
@@ -162,7 +164,7 @@ def ending(text: str) -> tuple[str, str, str]:
             return "none", "", ""
     if _END.search(body):
         token = re.sub(r"^[\W_]+", "", body.split()[-1].lower()).rstrip("\"'”’»)]*_").rstrip(".")
-        if body.rstrip("\"'”’»)]*_").endswith(".") and (token in ABBREVIATIONS or _BARE_NUMBER.search(body)):
+        if body.rstrip("\"'”’»)]*_").endswith(".") and (token in _UNENDED or _BARE_NUMBER.search(body)):
             return "cut", "", ""
         return "whole", "", ""
     at = 0
@@ -185,14 +187,14 @@ def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def units(text: str) -> list[tuple[str, bool]]:
-    """The units of a text, normalised, each with whether it is known to be ended (all but an unpunctuated last one)."""
+    """The units of a text, normalised, each with whether it is known to be ended (all but a last one without punctuation or with an ellipsis)."""
     body = text.strip(_BLANKS)
     out, at = [], 0
     for m in _BREAK.finditer(body):
         out.append((norm(body[at : m.end()]), True))
         at = m.end()
     if at < len(body):
-        out.append((norm(body[at:]), bool(_END.search(body))))
+        out.append((norm(body[at:]), bool(_END.search(body)) and not _MARKER.search(body)))
     return [u for u in out if u[0]]
 
 

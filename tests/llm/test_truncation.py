@@ -3,7 +3,7 @@ from collections import Counter
 
 import pytest
 
-from epiloom.llm.truncation import ending, measures, storage_limits, truncation_evidence
+from epiloom.llm.truncation import ending, measures, storage_limits, truncation_evidence, units
 from pyspark.sql import functions as F
 
 WHOLE = [
@@ -19,6 +19,8 @@ WHOLE = [
 ]
 CUT = [
     "It is approx.",
+    "The lid is closed, i.",
+    "The lid is closed, i.…",
     "The end came at t=25.",
     '{"a": [1, {"b": "x"}',
     '{"a": "x',
@@ -40,6 +42,11 @@ def test_cut(text):
     assert ending(text)[0] == "cut"
 
 
+def test_units_cut_by_a_marker_are_not_ended():
+    assert units("One two. Three fo...") == [("one two.", True), ("three fo...", False)]
+    assert units("- a\n- b c") == [("- a", True), ("- b c", False)]
+
+
 @pytest.mark.parametrize("text", ["", " \n", "​", "…"])
 def test_blank(text):
     assert ending(text)[0] == "none"
