@@ -76,15 +76,22 @@ def thinned(t: list[float], gap: float, slack: float = 1e-5) -> list[int]:
     return out
 
 
-def banded(spans: list[tuple[float, float]], minima: list[tuple[float, float]], low: float = 1.3, high: float = 4.0, mid: float = 2.65) -> list[tuple[float, float]]:
-    """Spans with durations brought into a band: long ones cut at their lowest inner minimum (else in the middle), again and again;
-    short ones merged with the touching neighbour that brings the sum nearest ``mid`` within the band, or left out."""
+def banded(spans: list[tuple[float, float]], samples: list[tuple[float, float]], minima: list[tuple[float, float]], low: float = 1.3, high: float = 4.0, mid: float = 2.65) -> list[tuple[float, float]]:
+    """Spans with durations brought into a band.
+
+    A long one is cut at the lowest of the ``minima`` (time, level) that leave ``low`` on both sides, the first on a tie, or else at
+    the lowest of the ``samples`` there, again and again; without any it stays long. A short one is merged with the touching
+    neighbour that brings the sum nearest to ``mid`` and not above ``high``, the one before on a tie, or else left out.
+    """
 
     def cut(a: float, z: float) -> list[tuple[float, float]]:
         if z - a <= high:
             return [(a, z)]
-        inner = [(v, x) for x, v in minima if x - a >= low and z - x >= low]
-        at = min(inner)[1] if inner else (a + z) / 2
+        legal = lambda rows: [(v, x) for x, v in rows if a + low < x < z - low]
+        inner = legal(minima) or legal(samples)
+        if not inner:
+            return [(a, z)]
+        at = min(inner)[1]
         return cut(a, at) + cut(at, z)
 
     parts = [p for s in spans for p in cut(*s)]
@@ -96,32 +103,41 @@ def banded(spans: list[tuple[float, float]], minima: list[tuple[float, float]],
             out.append((a, z))
         else:
             options = []
-            if out and abs(out[-1][1] - a) < 1e-6 and z - out[-1][0] <= high:
+            if out and abs(out[-1][1] - a) < 1e-9 and z - out[-1][0] <= high:
                 options.append((abs(z - out[-1][0] - mid), 0))
-            if i + 1 < len(parts) and abs(parts[i + 1][0] - z) < 1e-6 and parts[i + 1][1] - a <= high:
+            if i + 1 < len(parts) and abs(parts[i + 1][0] - z) < 1e-9 and parts[i + 1][1] - a <= high:
                 options.append((abs(parts[i + 1][1] - a - mid), 1))
             if options and min(options)[1] == 0:
                 out[-1] = (out[-1][0], z)
             elif options:
-                parts[i + 1] = (a, parts[i + 1][1])
+                parts[i + 1] = (a, parts[i + 1][1])  # looked at again in its turn
         i += 1
     return out
 
 
-def refined(bounds: list[float], minima: list[tuple[float, float]], shift: float = 0.4, low: float = 1.3, high: float = 4.0) -> list[tuple[float, int]]:
-    """Each inner boundary moved to the lowest minimum within ``shift`` that keeps both sides in the band, with the number of candidates.
+def refined(bounds: list[float], samples: list[tuple[float, float]], minima: list[tuple[float, float]], shift: float = 0.4, low: float = 1.3, high: float = 4.0, enough: float = 1.7) -> list[tuple[float, int, str | None]]:
+    """Each inner boundary moved to the lowest candidate within ``shift``: (boundary, candidates, why it stayed).
 
-    From left to right, against the boundary already moved; the first and last stay. Ties go to the shorter move, then the earlier time.
+    Candidates are the boundary itself and the minima (time, level); the level of the boundary is that of the first sample at
+    or after it. One is feasible if both sides keep a length in the band, and at least the lesser of ``enough`` and their
+    own. From left to right, against the boundary already moved; the first and last stay. Ties go to the shorter move,
+    then the earlier time. The reason is None for a boundary that moved.
     """
     if 2 * shift >= low:
         raise ValueError("two shifts must be shorter than the least duration")
-    out = [(bounds[0], 0)] if bounds else []
+    t = np.array([x for x, _ in samples])
+    level = lambda x: samples[min(int(np.searchsorted(t, x)), len(t) - 1)][1] if len(t) else 0.0
+    out: list[tuple[float, int, str | None]] = [(bounds[0], 0, None)] if bounds else []
     for i in range(1, len(bounds) - 1):
-        b = bounds[i]
-        near = [(v, abs(x - b), x) for x, v in minima if abs(x - b) <= shift and low <= x - out[-1][0] <= high and low <= bounds[i + 1] - x <= high]
-        out.append((min(near)[2], len(near)) if near else (b, 0))
+        b, before, after = bounds[i], bounds[i] - bounds[i - 1], bounds[i + 1] - bounds[i]
+        near = [(v, abs(x - b), x) for x, v in minima if abs(x - b) <= shift]
+        fits = lambda x: all(max(low, min(enough, own) - 1e-9) <= d <= high for d, own in ((x - out[-1][0], before), (bounds[i + 1] - x, after)))  # noqa: B023, E731
+        feasible = [c for c in [(level(b), 0.0, b), *near] if fits(c[2])]
+        best = min(feasible)[2] if feasible else b
+        why = None if best != b else "no_candidate" if not near else "original_best" if len(feasible) > 1 else "band"
+        out.append((best, len(near), why))
     if len(bounds) > 1:
-        out.append((bounds[-1], 0))
+        out.append((bounds[-1], 0, None))
     return out
 
 
@@ -210,37 +226,56 @@ def suppressed(boxes: np.ndarray, scores: np.ndarray, least: float = 0.5, held:
     return sorted(kept)
 
 
-def track(frames: list[tuple[int, float, list[tuple[np.ndarray, bool]]]], max_gap: float = 0.7, most: int = 4, least_iou: float = 0.05) -> list[tuple[int, int, int, str]]:
-    """Frame by frame, (frame, track, detection, status): detections bound to tracks by the cheapest assignment.
+def track(frames: list[tuple[int, float, list[tuple[np.ndarray, bool]]]], max_gap: float = 0.7, weak_gap: float = 0.7, most: int = 4) -> list[tuple[int, int, int, str]]:
+    """Frame by frame, (frame, track, detection, status): detections bound to tracks.
 
-    ``frames`` are (index, time, [(box, strong)]) with rising times. Only a strong detection begins a track; a track ends when none was
-    strong for ``max_gap``; a track without a detection is reported as 'predicted' with detection -1.
+    ``frames`` are (index, time, [(box, strong)]) with rising times. A track ends when none was strong for ``max_gap``. Strong
+    detections are assigned first, at the least total cost of 1 - IoU + 0.2 distances in box diagonals; those left begin
+    tracks, up to ``most``; weak ones then go to the tracks left over. A track is looked for where its smoothed, bounded velocity
+    takes it in at most 0.3 s. One without a detection is reported as 'predicted' with detection -1.
     """
-    tracks: dict[int, tuple[np.ndarray, float]] = {}
+    tracks: dict[int, dict] = {}
     out, number, before = [], 0, -np.inf
+
+    def bind(ids: list[int], picks: list[int], boxes: list[np.ndarray], t: float, strong: bool) -> list[tuple[int, int]]:
+        if not ids or not picks:
+            return []
+        here = np.array([tracks[k]["box"] + np.clip(t - tracks[k]["seen"], 0, 0.3) * tracks[k]["velocity"] for k in ids])
+        there = np.array([boxes[j] for j in picks])
+        overlap = iou(here, there)
+        size = np.maximum(np.linalg.norm(here[:, 2:] - here[:, :2], axis=1), 1e-9)
+        apart = np.linalg.norm((here[:, None, :2] + here[:, None, 2:] - there[None, :, :2] - there[None, :, 2:]) / 2, axis=2) / size[:, None]
+        allowed = (overlap >= 0.05) | (apart < 0.6) if strong else overlap >= 0.2
+        got = assignment(np.where(allowed, 1 - overlap + 0.2 * apart, 1e6))
+        for i, j in got:
+            k, box = tracks[ids[i]], there[j]
+            gap = t - k["seen"]
+            most_speed = max(3 * size[i], 30.0)
+            k["velocity"] = 0.5 * k["velocity"] + 0.5 * np.clip((box - k["box"]) / gap, -most_speed, most_speed)
+            k["box"], k["seen"] = box, t
+            if strong:
+                k["strong"] = t
+        return [(ids[i], picks[j]) for i, j in got]
+
     for index, t, found in frames:
         if not t > before:
             raise ValueError("frames must come in order of time")
         before = t
-        tracks = {k: x for k, x in tracks.items() if t - x[1] <= max_gap}
-        ids = sorted(tracks)
-        taken: set[int] = set()
-        bound: set[int] = set()
-        if ids and found:
-            overlap = iou(np.array([tracks[k][0] for k in ids]), np.array([b for b, _ in found]))
-            floor = np.array([least_iou if strong else 0.2 for _, strong in found])
-            for i, j in assignment(np.where(overlap >= floor, 1 - overlap, 1e6)):
-                box, strong = found[j]
-                tracks[ids[i]] = (box, t if strong else tracks[ids[i]][1])
-                taken.add(j)
-                bound.add(ids[i])
-                out.append((index, ids[i], j, "strong" if strong else "weak"))
-        out += [(index, k, -1, "predicted") for k in ids if k not in bound]
-        for j, (box, strong) in enumerate(found):
-            if strong and j not in taken and len(tracks) < most:
-                tracks[number] = (box, t)
+        tracks = {k: x for k, x in tracks.items() if t - x["strong"] <= max_gap}
+        ids, boxes = sorted(tracks), [b for b, _ in found]
+        strong = [j for j, (_, s) in enumerate(found) if s]
+        bound = bind(ids, strong, boxes, t, True)
+        out += [(index, k, j, "strong") for k, j in bound]
+        left = [k for k in ids if k not in {k for k, _ in bound}]
+        for j in strong:
+            if j not in {j for _, j in bound} and len(tracks) < most:
+                tracks[number] = {"box": boxes[j], "velocity": np.zeros(4), "seen": t, "strong": t}
                 out.append((index, number, j, "strong"))
                 number += 1
+        recent = [k for k in left if t - tracks[k]["strong"] <= weak_gap]
+        weak = bind(recent, [j for j, (_, s) in enumerate(found) if not s], boxes, t, False)
+        out += [(index, k, j, "weak") for k, j in weak]
+        out += [(index, k, -1, "predicted") for k in left if k not in {k for k, _ in weak}]
     return out
 
 

@@ -82,6 +82,22 @@ def state_runs(df: DataFrame, state: str, t: str, keys: list[str], order: list[s
     return ended.where(F.col("end") - F.col("start") >= least_s).select(*keys, state, "start", "end", "mean_score")
 
 
+def dwelt(df: DataFrame, state: str, t: str, keys: list[str], order: list[str], least_s: float) -> DataFrame:
+    """The rows with ``dwelt``: the state, or for a run shorter than ``least_s`` that of the last run before that wasn't.
+
+    A run lasts until the next one begins (the last, until its last row); the first of a series is always kept.
+    """
+    w = over(keys, order)
+    new = (F.row_number().over(w) == 1) | ~F.col(state).eqNullSafe(F.lag(state).over(w))
+    rows = df.withColumn("_new", new.cast("int")).withColumn("_r", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    runs_ = rows.groupBy(*keys, "_r").agg(F.first(state).alias("_s"), F.min(t).alias("_a"), F.max(t).alias("_z"))
+    by_run = Window.partitionBy(*keys).orderBy("_r")
+    kept = (F.col("_r") == 1) | (F.coalesce(F.lead("_a").over(by_run), F.col("_z")) - F.col("_a") >= least_s)
+    runs_ = runs_.withColumn("_k", F.when(kept, F.struct("_s")))
+    runs_ = runs_.select(*keys, "_r", F.last("_k", ignorenulls=True).over(by_run.rowsBetween(Window.unboundedPreceding, 0))["_s"].alias("dwelt"))
+    return rows.join(runs_, [*keys, "_r"]).drop("_r")
+
+
 def evidence_ranges(df: DataFrame, flag: Column, t: str, step: float, least: float, keys: list[str], order: list[str]) -> DataFrame:
     """(keys, start, end): runs of flagged samples as [first t, last t + step], where at least ``least`` long (up to 1e-8)."""
     r = with_islands(df, flag, keys, order).groupBy(*keys, "island").agg(F.min(t).alias("start"), (F.max(t) + F.lit(step)).alias("end"))

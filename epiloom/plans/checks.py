@@ -16,14 +16,14 @@ from epiloom.session import load
 
 @query(
     "a6_boundary_alignment",
-    f"""WITH {CE}, {SPANS}, b AS (SELECT DISTINCT episode, start_ts AS t FROM sp WHERE start_ts IS NOT NULL), f AS (SELECT event_id, ce.episode, ce.t, b.t AS bt FROM ce ASOF LEFT JOIN b ON ce.episode = b.episode AND ce.t <= b.t),
-    k AS (SELECT event_id, b.t AS bt FROM ce ASOF LEFT JOIN b ON ce.episode = b.episode AND ce.t >= b.t)
-    SELECT f.episode, count(*) AS n, {sql_fixed("quantile_cont(least(coalesce(f.bt - f.t, 1e9), coalesce(f.t - k.bt, 1e9)), 0.5)")} AS median_distance FROM f JOIN k ON f.event_id = k.event_id WHERE f.bt IS NOT NULL OR k.bt IS NOT NULL GROUP BY f.episode""",
+    f"""WITH {CE}, {SPANS}, b AS (SELECT DISTINCT episode, start_ts AS t FROM sp WHERE start_ts IS NOT NULL), e AS (SELECT DISTINCT episode, t FROM ce),
+    f AS (SELECT b.episode, b.t, e.t AS et FROM b ASOF LEFT JOIN e ON b.episode = e.episode AND b.t <= e.t), k AS (SELECT b.episode, b.t, e.t AS et FROM b ASOF LEFT JOIN e ON b.episode = e.episode AND b.t >= e.t)
+    SELECT f.episode, count(*) AS n, {sql_fixed("quantile_cont(least(coalesce(f.et - f.t, 1e9), coalesce(f.t - k.et, 1e9)), 0.5)")} AS median_distance FROM f JOIN k ON f.episode = k.episode AND f.t = k.t WHERE f.et IS NOT NULL OR k.et IS NOT NULL GROUP BY f.episode""",
 )
 def a6(spark, sf_dir):
-    """The median distance of an episode's events from the nearest start of a span."""
+    """The median distance of the starts of an episode's spans from the nearest event."""
     b = spans(spark, sf_dir).where("start_ts IS NOT NULL").select("episode", F.col("start_ts").alias("t")).distinct()
-    near = J.asof_nearest(contacts(spark, sf_dir).select("event_id", "episode", "t"), b, ["episode"], "t", [], [])
+    near = J.asof_nearest(b, contacts(spark, sf_dir).select("episode", "t").distinct(), ["episode"], "t", [], [])
     d = near.where("r_t IS NOT NULL").withColumn("d", F.abs(F.col("r_t") - F.col("t")))
     return d.groupBy("episode").agg(F.count(F.lit(1)).alias("n"), fixed(F.percentile("d", F.lit(0.5))).alias("median_distance"))
 

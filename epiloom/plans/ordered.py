@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from epiloom.operators import folds, joins
-from epiloom.operators.signal import box_smooth
+from epiloom.operators.signal import box_smooth, dwelt
 from epiloom.plans.records import spans
 from epiloom.plans.registry import fixed, query, sql_fixed
 from epiloom.plans.signals import CE, KEYS, ORDER, contacts
@@ -21,11 +21,18 @@ def kept_rows(df, keys, order, pick, columns):
     return folds.grouped(df, keys, order, f, df.select(*columns).schema.simpleString()[7:-1])
 
 
-@query("w8_dwell")
+@query(
+    "w8_dwell",
+    f"""WITH {CE}, a AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR type IS DISTINCT FROM lag(type) OVER w THEN 1 ELSE 0 END AS new FROM ce WINDOW w AS (PARTITION BY episode, side ORDER BY t, event_id)),
+    b AS (SELECT *, sum(new) OVER (PARTITION BY episode, side ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS k FROM a),
+    c AS (SELECT episode, side, k, min(type) AS type, min(t) AS s, max(t) AS l FROM b GROUP BY episode, side, k),
+    d AS (SELECT *, coalesce(lead(s) OVER (PARTITION BY episode, side ORDER BY k), l) AS e FROM c),
+    f AS (SELECT episode, side, k, last_value(CASE WHEN k = 1 OR e - s >= 0.5 THEN type END IGNORE NULLS) OVER (PARTITION BY episode, side ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS state FROM d)
+    SELECT event_id, state FROM b JOIN f ON b.episode = f.episode AND b.side = f.side AND b.k = f.k""",
+)
 def w8(spark, sf_dir):
-    """Event types with runs of under half a second taken into the one before."""
-    f = lambda p: pd.DataFrame({"event_id": p.event_id, "state": folds.dwell(p.type.tolist(), p.t.tolist(), 0.5)})
-    return folds.grouped(contacts(spark, sf_dir), KEYS, ORDER, f, "event_id BIGINT, state STRING")
+    """Event types with runs of under half a second taken into the one before: one pass over the runs, since taking in only lengthens a run."""
+    return dwelt(contacts(spark, sf_dir), "type", "t", KEYS, ORDER, 0.5).select("event_id", F.col("dwelt").alias("state"))
 
 
 @query("w10_prominent_minima")
@@ -73,12 +80,21 @@ def split(p):
     return list(zip(s.a, s.z)), list(zip(m.a, m.v))
 
 
+def troughs(m, depth, gap=0.0):
+    """The prominent minima of (time, level) samples."""
+    if not m:
+        return []
+    t, v = (np.array(x) for x in zip(*m))
+    return [(t[i], v[i]) for i in folds.prominent_minima(v, t, depth, gap)]
+
+
 @query("w18_banded")
 def w18(spark, sf_dir):
     """The spans of each episode brought into the band of durations."""
 
     def f(p):
-        out = folds.banded(*split(p))
+        s, m = split(p)
+        out = folds.banded(s, m, troughs(m, 0.06 * 0.35))
         return pd.DataFrame({"episode": [p.episode.iloc[0]] * len(out), "a": [a for a, _ in out], "z": [z for _, z in out]})
 
     rows = spans(spark, sf_dir).where("end_ts > start_ts")
@@ -91,11 +107,11 @@ def w19(spark, sf_dir):
 
     def f(p):
         s, m = split(p)
-        out = folds.refined(sorted({a for a, _ in s}), m)
-        return pd.DataFrame({"episode": [p.episode.iloc[0]] * len(out), "boundary": [b for b, _ in out], "candidates": [n for _, n in out]})
+        out = folds.refined(sorted({a for a, _ in s}), m, troughs(m, 0.06))
+        return pd.DataFrame({"episode": [p.episode.iloc[0]] * len(out), "boundary": [b for b, _, _ in out], "candidates": [n for _, n, _ in out], "reason": [r for _, _, r in out]})
 
     rows = spans(spark, sf_dir).where("end_ts > start_ts")
-    return folds.grouped(with_minima(spark, sf_dir, rows), ["episode"], ["kind", "a", "z", "v"], f, "episode STRING, boundary DOUBLE, candidates BIGINT")
+    return folds.grouped(with_minima(spark, sf_dir, rows), ["episode"], ["kind", "a", "z", "v"], f, "episode STRING, boundary DOUBLE, candidates BIGINT, reason STRING")
 
 
 def overlapping(spark, sf_dir):
@@ -178,7 +194,7 @@ def t1(spark, sf_dir):
     def f(p):
         frames = []
         for frame, rows in p.groupby("frame", sort=True):
-            frames.append((int(frame), frame / 10, [(np.array(r[:4]), bool(r[4])) for r in rows[["x1", "y1", "x2", "y2", "strong"]].to_numpy()]))
+            frames.append((int(frame), frame / 10, [(np.array(r[:4], dtype=np.float64), bool(r[4])) for r in rows[["x1", "y1", "x2", "y2", "strong"]].to_numpy()]))
         out = folds.track(frames)
         return pd.DataFrame([(p.episode.iloc[0], *o) for o in out], columns=["episode", "frame", "track", "detection", "status"])
 

@@ -11,7 +11,7 @@ from epiloom.config import DEFAULT, Settings
 from epiloom.operators import aggregates as A
 from epiloom.operators import folds, joins
 from epiloom.operators import signal as S
-from epiloom.plans.ordered import split, with_minima
+from epiloom.plans.ordered import split, troughs, with_minima
 from epiloom.plans.records import Q, clips, spans
 from epiloom.plans.registry import fixed, query, sql_fixed
 from epiloom.plans.signals import CE, KEYS, ORDER, contacts
@@ -24,12 +24,11 @@ def built_spans(spark, sf_dir: str, cfg: Settings = DEFAULT) -> DataFrame:
 
     def f(p: pd.DataFrame) -> pd.DataFrame:
         s, m = split(p)
-        t, v = (np.array(x) for x in zip(*m)) if m else (np.empty(0), np.empty(0))
-        troughs = [(t[i], v[i]) for i in folds.prominent_minima(v, t, cfg.trough_depth, cfg.trough_gap_s)]
-        parts = folds.banded(s, troughs, cfg.low_s, cfg.high_s)
+        low = troughs(m, cfg.trough_depth, cfg.trough_gap_s)
+        parts = folds.banded(s, m, troughs(m, cfg.trough_depth * 0.35), cfg.low_s, cfg.high_s)
         out = []
         for a, z in parts:
-            b = [x for x, _ in folds.refined([a - cfg.high_s, a, z, z + cfg.high_s], troughs, cfg.shift_s, cfg.low_s, 2 * cfg.high_s)]
+            b = [x for x, _, _ in folds.refined([a - cfg.high_s, a, z, z + cfg.high_s], m, low, cfg.shift_s, cfg.low_s, 2 * cfg.high_s)]
             out.append((p.episode.iloc[0], *((b[1], b[2]) if cfg.low_s <= b[2] - b[1] <= cfg.high_s else (a, z))))
         return pd.DataFrame(out, columns=["episode", "a", "z"])
 

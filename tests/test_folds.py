@@ -31,24 +31,38 @@ def test_thinned():
     assert folds.thinned([0, 0.2, 0.5, 0.6, 1.1], 0.5) == [0, 2, 4]
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.floats(0.05, 9), min_size=1, max_size=8), st.lists(st.tuples(st.floats(0, 40), st.floats(0, 1)), max_size=12))
-def test_banded_is_in_the_band(lengths, minima):
+rows = st.lists(st.tuples(st.floats(0, 40), st.floats(0, 1)), max_size=12).map(sorted)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.floats(0.05, 9), min_size=1, max_size=8), rows)
+def test_banded_is_in_the_band_where_it_can_be(lengths, samples):
     ends = np.cumsum(lengths)
-    out = folds.banded(list(zip(np.append(0, ends[:-1]).tolist(), ends.tolist())), minima)
-    assert all(1.3 - 1e-9 <= z - a <= 4.0 + 1e-9 for a, z in out)
+    out = folds.banded(list(zip(np.append(0, ends[:-1]).tolist(), ends.tolist())), samples, samples[::3])
+    for a, z in out:
+        assert z - a >= 1.3 - 1e-9
+        assert z - a <= 4.0 + 1e-9 or not [x for x, _ in samples if a + 1.3 < x < z - 1.3]
     assert all(p[1] <= q[0] + 1e-9 for p, q in zip(out, out[1:]))
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.floats(1.7, 3.5), min_size=1, max_size=8), st.lists(st.tuples(st.floats(0, 25), st.floats(0, 1)), max_size=12))
-def test_refined_keeps_the_band(lengths, minima):
+def test_banded_cuts_at_the_lowest_and_merges_towards_the_middle():
+    assert folds.banded([(0, 6)], [(2, 0.1), (3, 0.5)], [(3, 0.5)]) == [(0, 3), (3, 6)]
+    assert folds.banded([(0, 6)], [(2, 0.1)], []) == [(0, 2), (2, 6)]
+    assert folds.banded([(0, 2), (2, 2.5), (2.5, 4)], [], []) == [(0, 2.5), (2.5, 4)]
+    assert folds.banded([(0, 0.5)], [], []) == []
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.floats(1.7, 3.5), min_size=1, max_size=8), rows)
+def test_refined_keeps_the_band(lengths, samples):
     bounds = np.append(0, np.cumsum(lengths)).tolist()
-    out = [b for b, _ in folds.refined(bounds, minima)]
+    got = folds.refined(bounds, samples, samples[::2])
+    out = [b for b, _, _ in got]
     assert out[0] == bounds[0] and out[-1] == bounds[-1] and len(out) == len(bounds)
     assert all(abs(a - b) <= 0.4 for a, b in zip(out, bounds))
+    assert all((a == b) == (why is not None) for (a, _, why), b in list(zip(got, bounds))[1:-1])
     with pytest.raises(ValueError):
-        folds.refined(bounds, minima, shift=0.7)
+        folds.refined(bounds, samples, [], shift=0.7)
 
 
 @settings(max_examples=80, deadline=None)
@@ -86,6 +100,8 @@ def test_track():
     box = lambda x: np.array([x, 0, x + 10, 10.0])
     frames = [(0, 0.0, [(box(0), True)]), (1, 0.1, [(box(1), False), (box(50), False)]), (2, 0.2, []), (3, 1.0, [(box(0), True)])]
     assert folds.track(frames) == [(0, 0, 0, "strong"), (1, 0, 0, "weak"), (2, 0, -1, "predicted"), (3, 1, 0, "strong")]
+    crowd = [(0, 0.0, [(box(100 * i), True) for i in range(6)]), (1, 0.1, [(box(101), True), (box(3), True)])]
+    assert folds.track(crowd)[4:] == [(1, 0, 1, "strong"), (1, 1, 0, "strong"), (1, 2, -1, "predicted"), (1, 3, -1, "predicted")]
     with pytest.raises(ValueError):
         folds.track([(0, 1.0, []), (1, 1.0, [])])
 
