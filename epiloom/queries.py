@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epiloom.operators.islands import merged_intervals, whole_ms
-from epiloom.plans import checks, ordered, pipelines, records, scalars, signals, sinks, streams, timejoins  # noqa: F401
+from epiloom.plans import checks, frames, ordered, pipelines, records, scalars, signals, sinks, streams, timejoins  # noqa: F401
 from epiloom.plans.registry import QUERIES, SQL, query  # noqa: F401
 from epiloom.session import load
 
