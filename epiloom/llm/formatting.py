@@ -49,7 +49,7 @@ def canonical_fields(text: Column) -> Column:
 
 
 def _has_content(text: Column) -> Column:
-    return text.isNull() | text.rlike(r"[\p{L}\p{N}]")
+    return F.coalesce(text.rlike(r"[\p{L}\p{N}]"), F.lit(False))
 
 
 def _raw_groups(df: DataFrame, id_: str, text: str, swapped: tuple[str, str]) -> DataFrame:
@@ -67,9 +67,9 @@ def collapsed(df: DataFrame, id_: str, text: str, swapped: tuple[str, str]) -> D
     """One row for each set of records equal but for formatting: (first_id, copies, variants, text, and the two fields).
 
     ``text`` and the two fields ``swapped``, which may stand in each other's place, are compared in canonical form
-    (:func:`canonical_fields`); NULL equals only NULL. first_id is the least id, copies counts the records, variants their
-    byte-different forms; the text and fields are those of the first. A text without any letter or digit has no
-    content to compare: only its byte-identical copies are one row. Repeated rows count each. Empty tables give no row.
+    (:func:`canonical_fields`); a NULL field equals only NULL. first_id is the least id, copies counts the records, variants
+    their byte-different forms; the text and fields are those of the first. A text that is NULL or without any letter or digit
+    has no content to compare: only its byte-identical copies are one row. Repeated rows count each. Empty tables give no row.
     """
     groups = _raw_groups(df, id_, text, swapped)
     whole = groups.groupBy("content", "key", F.when(~F.col("content"), F.struct("t", "a", "b")).alias("as_is"))
@@ -86,8 +86,8 @@ def _digest(t: str, a: str, b: str) -> Column:
 def copies(df: DataFrame, id_: str, text: str, swapped: tuple[str, str]) -> DataFrame:
     """(first_id, copy_id): for each set of :func:`collapsed` the least id with each other id of the set.
 
-    Records whose text has no letter or digit are in no set; a NULL text equals NULL. A NULL id is no record's id and gives
-    no row; an id that repeats is one record.
+    Records whose text is NULL or has no letter or digit are in no set; a NULL field equals only NULL. A NULL id is no
+    record's id and gives no row; an id that repeats is one record.
 
     The counts are summed as in :func:`collapsed`. To name the records, each is joined to its raw group by the SHA-256 of
     its raw fields; the groups that hold at least a thousandth of the rows, at most a thousand, go to every executor, so

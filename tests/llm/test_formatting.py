@@ -41,7 +41,8 @@ def test_content_is_not_formatting(spark):
 
 
 def test_nulls_and_empty(spark):
-    assert same(spark, (None, None, "x"), (None, "X ", None))
+    assert same(spark, ("Cup", None, "x"), ("cup", "X ", None)) and not same(spark, ("Cup", None, "x"), ("cup", "", "x"))
+    assert run(spark, [(None, None, None), (None, None, None), (None, "a", "b"), (None, "a", "b")]) == set()
     assert same(spark, ("Crème", None, None), ("CRÈME", None, None))
     assert run(spark, [("...", None, None), ("...", None, None), ("", None, None), ("", None, None)]) == set()
     assert run(spark, []) == set()
