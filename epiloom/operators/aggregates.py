@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,6 +63,28 @@ def sign_test(wins: Column, n: Column) -> Column:
     return F.when(wins <= n, F.aggregate(F.sequence(wins, n), F.lit(0.0), lambda s, i: s + term(i))).otherwise(F.lit(0.0))
 
 
+def sign_tail(k: int, n: int) -> float:
+    """The chance of at least ``k`` of ``n`` fair coin flips, for any n: terms in log space, shifted by the greatest."""
+    if k <= 0 or k > n:
+        return float(k <= 0)
+    i = np.arange(k, n)
+    # log C(n, i + 1) - log C(n, i), summed up from the first term.
+    logs = np.concatenate([[0.0], np.cumsum(np.log((n - i) / (i + 1)))]) + (math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2))
+    top = logs.max()
+    return min(1.0, math.exp(top) * float(np.exp(logs - top).sum()))
+
+
+def sign_tails(df: DataFrame, keys: list[str], wins: str, n: str) -> DataFrame:
+    """(keys, wins, n, p): :func:`sign_tail` of each row."""
+    out = df.select(*keys, wins, n)
+
+    def run(batches):
+        for b in batches:
+            yield b.assign(p=[sign_tail(int(k), int(m)) for k, m in zip(b[wins], b[n])])
+
+    return out.mapInPandas(run, out.schema.simpleString()[7:-1] + ", p DOUBLE")
+
+
 def top_repeats(df: DataFrame, keys: list[str], text: Column, order: str, k: int = 5) -> DataFrame:
     """(keys, norm, n, rank): the k most repeated texts of each key, with more than one occurrence; ties by first seen."""
     c = df.select(*keys, text.alias("norm"), F.col(order).alias("_o")).where("norm IS NOT NULL").groupBy(*keys, "norm").agg(F.count(F.lit(1)).alias("n"), F.min("_o").alias("_o")).where("n > 1")

@@ -278,6 +278,18 @@ def a5(spark, sf_dir):
     return b.select("episode", "n", "k", fixed(A.sign_test(F.col("k"), F.col("n")), 5).alias("p"))
 
 
+@query(
+    "a5_sign_test_all",
+    f"""WITH {CE}, b AS (SELECT episode, count(*) AS n, count(CASE WHEN d < 0 THEN 1 END) AS k FROM ce GROUP BY episode),
+    i AS (SELECT episode, n, k, unnest(range(k, n + 1)) AS i FROM b)
+    SELECT episode, n, k, {sql_fixed("sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2.0))) + 1e-11", 5)} AS p FROM i GROUP BY episode, n, k""",
+)
+def a5_all(spark, sf_dir):
+    """The sign test of every episode, however many events it has; 1e-11 keeps sixty-fourths off the edge of rounding."""
+    b = contacts(spark, sf_dir).groupBy("episode").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("d") < 0).alias("k"))
+    return A.sign_tails(b, ["episode"], "k", "n").select("episode", "n", "k", fixed(F.col("p") + 1e-11, 5).alias("p"))
+
+
 @query(
     "a7_pooled_calibration",
     f"""WITH {Q}, p AS (SELECT {sql_fixed("quantile_cont(max_wrist_speed, 0.95) FILTER (accepted)")} AS good_p95, {sql_fixed("quantile_cont(max_wrist_speed, 0.05) FILTER (NOT accepted)")} AS bad_p05 FROM q)
