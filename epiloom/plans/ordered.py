@@ -114,11 +114,25 @@ def w19(spark, sf_dir):
     return folds.grouped(with_minima(spark, sf_dir, rows), ["episode"], ["kind", "a", "z", "v"], f, "episode STRING, boundary DOUBLE, candidates BIGINT, reason STRING")
 
 
+#: What a span and a caption both say of an activity.
+SAID = ("cls", "hand", "ap_trend")
+
+
+def intervals(spark, sf_dir):
+    """Spans and captions that are intervals."""
+    s = spans(spark, sf_dir).where("end_ts > start_ts").select("segment", "span_id", F.col("start_ts").alias("a"), F.col("end_ts").alias("z"), *SAID)
+    c = load(spark, sf_dir, "baseline_vision").where("end_ts > start_ts").select("segment", "record_id", F.col("start_ts").alias("ca"), F.col("end_ts").alias("cz"), *[F.col(x).alias(f"c_{x}") for x in SAID])
+    return s, c
+
+
 def overlapping(spark, sf_dir):
-    """Overlapping pairs of a span and a caption of one segment, each segment's pairs being one group."""
-    s = spans(spark, sf_dir).where("end_ts > start_ts").select("segment", "span_id", F.col("start_ts").alias("a"), F.col("end_ts").alias("z"))
-    c = load(spark, sf_dir, "baseline_vision").where("end_ts > start_ts").select("segment", "record_id", F.col("start_ts").alias("ca"), F.col("end_ts").alias("cz"))
-    return joins.overlap_pairs(s, c, ["segment"], ("a", "z"), ("ca", "cz"), 4.0).select("segment", "span_id", "record_id", "a", "ca", "iou")
+    """Overlapping pairs of a span and a caption of one segment, each segment's pairs being one group.
+
+    ``pair_score`` is the share of the fields SAID in which the two agree; NULL agrees with nothing.
+    """
+    pairs = joins.overlap_pairs(*intervals(spark, sf_dir), ["segment"], ("a", "z"), ("ca", "cz"), 4.0)
+    agree = sum((F.coalesce(F.lower(F.trim(x)) == F.lower(F.trim(f"c_{x}")), F.lit(False)).cast("int") for x in SAID), F.lit(0))
+    return pairs.select("segment", "span_id", "record_id", "a", "ca", "iou", (agree / len(SAID)).alias("pair_score"))
 
 
 def matrix(p):
@@ -138,20 +152,28 @@ def j8(spark, sf_dir):
         out = folds.greedy_pairs(m, 0.3)
         return pd.DataFrame({"span_id": [rows[i] for i, _ in out], "record_id": [cols[j] for _, j in out], "iou": [m[x] for x in out]})
 
-    return folds.grouped(overlapping(spark, sf_dir), ["segment"], ["a", "span_id", "ca", "record_id"], f, "span_id STRING, record_id BIGINT, iou DOUBLE")
+    return folds.grouped(overlapping(spark, sf_dir).drop("pair_score"), ["segment"], ["a", "span_id", "ca", "record_id"], f, "span_id STRING, record_id BIGINT, iou DOUBLE")
 
 
 @query("a16_monotone_alignment")
 def a16(spark, sf_dir):
-    """The alignment of captions with spans in order, by segment: its sum over either side, and F1."""
+    """The alignment of captions with spans in order, by segment: its sum over all of either side, and F1; 0 without a pair.
 
-    def f(p):
-        m, rows, cols = matrix(p)
-        total = folds.monotone_alignment(m)
-        a, b = total / len(rows), total / len(cols)
-        return pd.DataFrame({"segment": [p.segment.iloc[0]], "precision": [b], "recall": [a], "f1": [2 * a * b / (a + b) if a + b else 0.0]})
+    A pair counts its overlap times its pair score. Spans have no text, so the share of equal fields stands in for METEOR.
+    """
 
-    return folds.grouped(overlapping(spark, sf_dir), ["segment"], ["a", "span_id", "ca", "record_id"], f, "segment STRING, precision DOUBLE, recall DOUBLE, f1 DOUBLE")
+    def f(p):
+        m, _, _ = matrix(p)
+        return pd.DataFrame({"segment": [p.segment.iloc[0]], "total": [folds.monotone_alignment(m)]})
+
+    pairs = overlapping(spark, sf_dir).withColumn("iou", F.col("iou") * F.col("pair_score"))
+    totals = folds.grouped(pairs, ["segment"], ["a", "span_id", "ca", "record_id"], f, "segment STRING, total DOUBLE")
+    s, c = (x.groupBy("segment").agg(F.count(F.lit(1)).alias(n)) for x, n in zip(intervals(spark, sf_dir), ("spans", "captions")))
+    sides = s.unionByName(c, allowMissingColumns=True).unionByName(totals, allowMissingColumns=True).groupBy("segment")
+    sides = sides.agg(*[F.sum(x).alias(x) for x in ("spans", "captions", "total")])
+    share = lambda n: F.coalesce(F.col("total") / F.col(n), F.lit(0.0))
+    out = sides.select("segment", share("captions").alias("precision"), share("spans").alias("recall"))
+    return out.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
 
 
 @query("j9_greedy_nearest")
