@@ -21,7 +21,7 @@ from epiloom.session import checkpointed
 
 #: A limit's length occurs at least so often, and so many times as often as the lengths within REACH of it on average.
 SPIKE_LEAST, SPIKE_TIMES, REACH, SHORTEST = 8, 4.0, 16, 48
-#: Occurrences from which an unpunctuated closing phrase may be a habit (a sign-off), and their least share of all texts.
+#: Texts (copies count once) from which an unpunctuated closing phrase may be a habit (a sign-off), and their least share of all texts.
 HABIT_LEAST, HABIT_SHARE = 5, 1 / 20_000
 #: Share of a source's punctuated endings from which an unpunctuated one is out of place.
 PROSE_SHARE = 0.5
@@ -183,7 +183,7 @@ def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text").to_pylist()
         verdict, tail, last = zip(*(ending(t) for t in texts)) if texts else ((), (), ())
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("source"), *(pa.array(x, pa.string()) for x in (verdict, tail, last)), batch.column("lengths")], ["id", "source", "verdict", "tail", "last", "lengths"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("source"), *(pa.array(x, pa.string()) for x in (verdict, tail, last)), batch.column("lengths"), batch.column("digest")], ["id", "source", "verdict", "tail", "last", "lengths", "digest"])
 
 
 def units(text: str) -> list[tuple[str, bool]]:
@@ -244,27 +244,31 @@ def truncation_evidence(df: DataFrame, id_: str, text: str, source: str) -> Data
     ``cut`` whether it was cut off. NULL texts give no row; blank ones are never cut; a NULL source is a source of its own;
     repeated rows are records each. An empty table gives no row. Other columns aren't read.
 
-    The counts (lengths, closing phrases, words) cover the whole corpus and are summed up before they are shuffled; the
-    driver receives only the closing phrases that at least one in 20,000 texts has, so at most 20,000 of them.
+    The counts cover the whole corpus and are summed up before they are shuffled: lengths over all records, closing phrases
+    and words over distinct texts, so that copies of a cut text don't make its ending a habit. The driver receives only
+    the closing phrases that at least one text in 20,000 has, so at most 20,000 of them.
     """
     spark = df.sparkSession
     kind = df.select(id_).schema[0].dataType.simpleString()
     rows = df.select(F.col(id_).alias("id"), F.col(source).cast("string").alias("source"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL")
-    sized = rows.withColumn("lengths", F.array(*[F.struct(F.lit(k).alias("measure"), v.cast("int").alias("length")) for k, v in measures(F.col("text")).items()]))
-    ends = checkpointed(sized.mapInArrow(_endings, f"id {kind}, source STRING, verdict STRING, tail STRING, last STRING, lengths ARRAY<STRUCT<measure: STRING, length: INT>>"))
+    sized = rows.withColumn("lengths", F.array(*[F.struct(F.lit(k).alias("measure"), v.cast("int").alias("length")) for k, v in measures(F.col("text")).items()])).withColumn("digest", F.unhex(F.sha2("text", 256)))
+    ends = checkpointed(sized.mapInArrow(_endings, f"id {kind}, source STRING, verdict STRING, tail STRING, last STRING, lengths ARRAY<STRUCT<measure: STRING, length: INT>>, digest BINARY"))
     lengths = ends.select("source", F.explode("lengths").alias("x")).groupBy("source", "x.measure", "x.length").agg(F.count(F.lit(1)).alias("n"))
     limits = storage_limits(lengths).select(F.col("source").alias("s2"), "measure", "length").withColumn("reach", F.when(F.col("measure").endswith("utf8"), 3).otherwise(0))
 
-    total = ends.count()
-    habits = ends.where("verdict IN ('tail', 'line', 'marked')").groupBy("tail").agg(F.count(F.lit(1)).alias("habit")).where(F.col("habit") >= max(HABIT_LEAST, total * HABIT_SHARE))
+    # Copies of one text don't vouch for its ending: each text counts once, or once in a source.
+    each = checkpointed(ends.select("source", "digest", "verdict", "tail", "last").distinct())
+    texts = each.select("digest", "verdict", "tail").distinct()
+    total = texts.count()
+    habits = texts.where("verdict IN ('tail', 'line', 'marked')").groupBy("tail").agg(F.count(F.lit(1)).alias("habit")).where(F.col("habit") >= max(HABIT_LEAST, total * HABIT_SHARE))
     sent = spark.sparkContext.broadcast([r[0] for r in habits.select("tail").collect()])
-    words = checkpointed(rows.select("text").mapInArrow(_word_counts(sent), "kind STRING, w STRING, n BIGINT").groupBy("kind", "w").agg(F.sum("n").alias("n")))
+    words = checkpointed(rows.select("text").distinct().mapInArrow(_word_counts(sent), "kind STRING, w STRING, n BIGINT").groupBy("kind", "w").agg(F.sum("n").alias("n")))
     habits = habits.join(words.where("kind = 'longer'").select(F.col("w").alias("tail"), F.col("n").alias("longer")), "tail", "left").where(F.coalesce("longer", F.lit(0)) <= F.col("habit"))
     open_words = words.where("kind <> 'longer'").groupBy("w").agg(F.sum(F.when(F.col("kind") == "final", F.col("n")).otherwise(0)).alias("final"), F.sum("n").alias("seen"))
-    by_source = ends.where("verdict <> 'none'").groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.count_if(F.col("verdict") == "whole").alias("whole"))
+    by_source = each.where("verdict <> 'none'").groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.count_if(F.col("verdict") == "whole").alias("whole"))
     by_source = by_source.select(F.col("source").alias("s2"), "docs", (F.col("whole") >= F.col("docs") * PROSE_SHARE).alias("prose"))
-    records = ends.where("verdict = 'record'").groupBy("source", "tail").agg(F.count(F.lit(1)).alias("n")).groupBy("source").agg(F.max_by("tail", F.struct("n", "tail")).alias("form")).select(F.col("source").alias("s2"), "form")
-    dominant = ends.where("verdict IN ('tail', 'line')").groupBy("source", "last").agg(F.count(F.lit(1)).alias("times"))
+    records = each.where("verdict = 'record'").groupBy("source", "tail").agg(F.count(F.lit(1)).alias("n")).groupBy("source").agg(F.max_by("tail", F.struct("n", "tail")).alias("form")).select(F.col("source").alias("s2"), "form")
+    dominant = each.where("verdict IN ('tail', 'line')").groupBy("source", "last").agg(F.count(F.lit(1)).alias("times"))
 
     near = limits.withColumn("length2", F.explode(F.sequence(F.col("length") - F.col("reach"), F.col("length")))).groupBy("s2", "measure", "length2").agg(F.max("length").alias("length"))
     small = near.groupBy("s2").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(":", "measure", "length2"), F.concat_ws(" ", "measure", "length")))).alias("at"))

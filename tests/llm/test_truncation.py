@@ -84,6 +84,16 @@ def test_corpus(spark):
     assert at.most_common(1)[0][0] == "chars 200"
 
 
+def test_copies_do_not_vouch_for_their_ending(spark):
+    rows, cut = corpus()
+    text = "The spool stays near the mat. The crate moves besi"
+    copies = [(6000 + i, text, ["log", "notes", None][i % 3], "x") for i in range(120)]
+    df = spark.createDataFrame(rows + copies, "doc_id BIGINT, text STRING, source STRING, tail STRING")
+    got = truncation_evidence(df, "doc_id", "text", "source").collect()
+    assert len(got) == len(rows) + len(copies)
+    assert {r["doc_id"] for r in got if r["cut"]} == cut | {c[0] for c in copies}
+
+
 def test_empty(spark):
     assert truncation_evidence(spark.createDataFrame([], "doc_id BIGINT, text STRING, source STRING"), "doc_id", "text", "source").count() == 0
 
