@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from epiloom.functions.images import hash_distance
+
 
 #: Seconds of one slice of a series in the as-of joins.
 SLICE = 60.0
@@ -116,3 +118,47 @@ def bound(labels: DataFrame, spans: DataFrame, id_: str, fields: list[str]) -> D
     tests: list[Column] = [F.when(~known, F.lit("unknown_id")), F.when(F.col("_n") > 1, F.lit("duplicate_label"))]
     tests += [F.when(known & ~F.col(f).eqNullSafe(F.col(f"_s_{f}")), F.lit(f"mismatch_{f}")) for f in fields]
     return j.withColumn("issues", F.filter(F.array(*tests), lambda x: x.isNotNull())).drop("_known", "_n", *[f"_s_{f}" for f in fields])
+
+
+def aligned(samples: Column) -> Column:
+    """Eight samples at even distances along an array; NULL with under three."""
+    at = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.bround(k * (F.size(samples) - 1) / 7).cast("int"))
+    return F.when(F.size(samples) >= 3, F.transform(at, lambda i: F.get(samples, i)))
+
+
+def duplicate_pairs(clips: DataFrame) -> DataFrame:
+    """(left_id, right_id, kind, mean_hash_distance) of the duplicates among clips (id, file_hash, decoded_hash, frame_count, duration, samples).
+
+    ``samples`` are structs of a hash (63 characters 0 or 1) and a contrast. The first kind that holds is given: identical_file;
+    identical_decoded_frames (as many frames, durations less than 0.05 apart); near_duplicate_candidate (durations closer than 0.15
+    or 3 % of the left one's, aligned hashes with 0.18 of the bits different at most and 0.10 on average, contrasts over 8).
+
+    Near ones differ in 50 of 504 bits at most, so that of 56 pieces of 9 bits some are equal: joined on those and on bands of duration, without loss.
+    """
+    side = lambda df, s: df.select(*[F.col(c).alias(f"{s}_{c}") for c in df.columns])
+    ordered, apart = F.col("left_id") < F.col("right_id"), F.abs(F.col("left_duration") - F.col("right_duration"))
+    ids = ["left_id", "right_id"]
+
+    f = clips.select("id", "file_hash")
+    files = side(f, "left").join(side(f, "right"), (F.col("left_file_hash") == F.col("right_file_hash")) & ordered).select(*ids, F.lit(0).alias("k"), F.lit(None).cast("double").alias("d"))
+    f = clips.select("id", "decoded_hash", "frame_count", "duration")
+    same = (F.col("left_decoded_hash") == F.col("right_decoded_hash")) & (F.col("left_frame_count") == F.col("right_frame_count"))
+    frames = side(f, "left").join(side(f, "right"), same & ordered & (apart < 0.05)).select(*ids, F.lit(1).alias("k"), F.lit(None).cast("double").alias("d"))
+
+    n = clips.select("id", "duration", aligned(F.col("samples")).alias("s")).where(F.forall("s", lambda x: x["contrast"] > 8))
+    n = n.select("id", "duration", F.transform("s", lambda x: x["hash"]).alias("hashes"))
+    # Durations that match are less than a band apart.
+    band = F.floor(F.when(F.col("duration") <= 5, F.col("duration") / 0.15).otherwise(5 / 0.15 + F.log(F.col("duration") / 5) / 0.03) / 1.05)
+    pieces = F.flatten(F.transform("hashes", lambda h, i: F.transform(F.sequence(F.lit(0), F.lit(6)), lambda p: F.concat_ws(":", i, p, F.substr(h, p * 9 + 1, F.lit(9))))))
+    keyed = n.select("id", "duration", band.alias("band"), F.explode(pieces).alias("piece"))
+    left = keyed.select(F.col("id").alias("left_id"), F.col("duration").alias("left_duration"), "piece", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band"))
+    right = keyed.select(F.col("id").alias("right_id"), F.col("duration").alias("right_duration"), "piece", "band")
+    near = left.join(right, ["band", "piece"]).where(ordered & (apart < F.greatest(F.lit(0.15), F.col("left_duration") * 0.03))).select(*ids).distinct()
+    h = n.select("id", "hashes")
+    near = near.join(side(h, "left"), "left_id").join(side(h, "right"), "right_id").withColumn("ds", F.zip_with("left_hashes", "right_hashes", hash_distance))
+    mean = F.aggregate("ds", F.lit(0.0), lambda a, x: a + x) / 8
+    near = near.where((F.array_max("ds") <= 0.18) & (mean <= 0.10)).select(*ids, F.lit(2).alias("k"), mean.alias("d"))
+
+    kinds = F.array(*[F.lit(x) for x in ("identical_file", "identical_decoded_frames", "near_duplicate_candidate")])
+    first = files.unionByName(frames).unionByName(near).groupBy(*ids).agg(F.min(F.struct("k", "d")).alias("x"))
+    return first.select(*ids, F.get(kinds, F.col("x.k")).alias("kind"), F.col("x.d").alias("mean_hash_distance"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from epiloom.operators import joins as J
@@ -170,6 +171,24 @@ def j15(spark, sf_dir):
     return d.join(firsts, "h").where("doc_id > first_id").select("first_id", "doc_id")
 
 
+@query("j15_duplicate_pairs")
+def j15_pairs(spark, sf_dir):
+    """Duplicate clips of three kinds. Each vector begins a clip of up to eight in a row of its label, which are its samples.
+
+    The signs of 63 dimensions are a sample's hash, 100 times their deviation its contrast; a second lies between vectors.
+    """
+    e = load(spark, sf_dir, "embeddings")
+    w = Window.partitionBy("label").orderBy("vec_id").rowsBetween(0, 7)
+    bits = F.array_join(F.transform(F.slice("embedding", 1, 63), lambda x: F.when(x >= 0, "1").otherwise("0")), "")
+    mean = lambda f: F.aggregate("embedding", F.lit(0.0), lambda a, x: a + f(x.cast("double"))) / F.size("embedding")
+    contrast = 100 * F.sqrt(F.greatest(mean(lambda x: x * x) - mean(lambda x: x) * mean(lambda x: x), F.lit(0.0)))
+    c = e.select("vec_id", F.collect_list(F.struct(bits.alias("hash"), contrast.alias("contrast"))).over(w).alias("samples"), F.collect_list("embedding").over(w).alias("v"))
+    near = F.transform("v", lambda x: F.transform(x, lambda y: F.round(y, 2)))
+    digest = lambda v: F.sha2(F.to_json(v), 256)
+    n = F.size("v")
+    return J.duplicate_pairs(c.select(F.col("vec_id").alias("id"), digest(F.col("v")).alias("file_hash"), digest(near).alias("decoded_hash"), n.alias("frame_count"), n.cast("double").alias("duration"), "samples"))
+
+
 @query(
     "j20_manifest_upsert",
     """WITH q AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY ingested_at DESC, record_id DESC) AS i FROM quality) SELECT clip_id, record_id, episode FROM q WHERE i = 1""",
