@@ -1,10 +1,10 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
-from epiloom.llm.truncation import ending, measures, storage_limits, truncation_evidence, units
-from pyspark.sql import functions as F
+from epiloom.llm.truncation import MEASURES, ending, measures, phrase, storage_limits, truncation_evidence, units
 
 WHOLE = [
     "The cup is on the mat.",
@@ -43,8 +43,19 @@ def test_cut(text):
 
 
 def test_units_cut_by_a_marker_are_not_ended():
-    assert units("One two. Three fo...") == [("one two.", True), ("three fo...", False)]
-    assert units("- a\n- b c") == [("- a", True), ("- b c", False)]
+    unit, ended = units(pa.array(["One  two. Three fo...", "", "- a\r\n- b 42", "\u3000二つ。三つ"]))
+    assert unit.to_pylist() == ["one  two.", "three fo...", "- a", "- b 9", "二つ。", "三つ"]
+    assert ended.tolist() == [True, False, True, False, True, False]
+
+
+def test_phrases():
+    assert phrase("(see", "clip") == "see clip" and phrase("the", None) == "the" and phrase("この場面では手首が", None) == "この場面では手首"
+
+
+@pytest.mark.parametrize("text", ["The lid is closed, i.e", "Seen at 4.1 s,"])
+def test_a_sentence_that_goes_on(text):
+    verdict, _, last = ending(text)
+    assert verdict == "cut" or last == "s,"
 
 
 @pytest.mark.parametrize("text", ["", " \n", "​", "…"])
@@ -98,17 +109,37 @@ def test_empty(spark):
     assert truncation_evidence(spark.createDataFrame([], "doc_id BIGINT, text STRING, source STRING"), "doc_id", "text", "source").count() == 0
 
 
-def test_measures(spark):
-    text = 'a&<"é\r\n二\n👍'
-    df = spark.createDataFrame([(text,)], "t STRING")
-    got = df.select(*[v.alias(k) for k, v in measures(F.col("t")).items()]).collect()[0].asDict()
+def test_measures():
     import html
     import json
 
-    crlf = text.replace("\r\n", "\n").replace("\n", "\r\n")
-    assert got["chars"] == len(text) and got["utf8"] == len(text.encode()) and got["utf16"] == len(text.encode("utf-16-le")) // 2
-    assert got["entities"] == len(html.escape(text)) and got["json"] == len(json.dumps(text)) - 2
-    assert got["crlf"] == len(crlf) and got["lf"] == len(text.replace("\r\n", "\n"))
+    texts = ['a&<"é\r\n二\n👍', "", "\t\\ plain", "\n", "\r"]
+    for text, row in zip(texts, measures(pa.array(["x", *texts])[1:])):
+        got = dict(zip(MEASURES, row.tolist()))
+        crlf = text.replace("\r\n", "\n").replace("\n", "\r\n")
+        assert got["chars"] == len(text) and got["utf8"] == len(text.encode()) and got["utf16"] == len(text.encode("utf-16-le")) // 2
+        assert got["entities"] == len(html.escape(text, quote=False).replace('"', "&quot;")) and got["json"] == len(json.dumps(text)) - 2
+        assert got["crlf"] == len(crlf) and got["lf"] == len(text.replace("\r\n", "\n"))
+    assert measures(pa.array([], pa.string())).shape == (0, len(MEASURES))
+
+
+def test_limits_decide(spark):
+    # "box" ends sentences more often than not, so only the limit tells that the texts of that length were cut.
+    rng = random.Random(4)
+    sentence = lambda: f"The {rng.choice(['cup', 'bin', 'spool'])} is {'very ' * rng.randrange(6)}near the box."
+    rows = [(i, " ".join(sentence() for _ in range(rng.randrange(2, 9))), "notes") for i in range(400)]
+    cut = [(1000 + i, (c * 12 + " is near the box. The cup is near the box." * 9)[:188] + " at this box", "notes") for i, c in enumerate("abcdefghijkl")]
+    df = spark.createDataFrame(rows + cut, "doc_id BIGINT, text STRING, source STRING")
+    found = lambda **how: {r["doc_id"] for r in truncation_evidence(df, "doc_id", "text", "source", **how).where("cut").collect()}
+    assert found() == {c[0] for c in cut}
+    assert found(at_limits=False) == set()
+
+
+def test_unrelated_documents_change_no_verdict(spark):
+    rows, cut = corpus()
+    other = [(10_000 + i, f"Wholly other words número {i} stand aquí.", f"other {i % 3}", "x") for i in range(3000)]
+    df = spark.createDataFrame(rows + other, "doc_id BIGINT, text STRING, source STRING, tail STRING")
+    assert {r["doc_id"] for r in truncation_evidence(df, "doc_id", "text", "source").where("cut").collect()} == cut
 
 
 def test_limits(spark):
