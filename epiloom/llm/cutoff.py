@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from epiloom.session import checkpointed
+from epiloom.session import checkpointed, mark, release
 
-#: Distinct values of one source that one block may hold: the memory of a block's median is bounded by it.
+#: Distinct values of one source that one block holds on average: the memory of a block's medians is bounded by it.
 BLOCK_VALUES = 50_000
-#: Open distinct values of a source from which on the rest is ranked by one bounded sort.
-SORT_VALUES = 128
+#: Halvings that one round makes: the median of a block, those of its halves, and so on.
+HALVINGS = 4
+#: Parts by which values are first dealt out, before the size of their source is known.
+PARTS = 64
 
 
 def _rank(num: int, den: int, n: Column) -> Column:
@@ -18,65 +20,63 @@ def _rank(num: int, den: int, n: Column) -> Column:
     return F.floor((n * num + (den - 1)) / F.lit(den)).cast("bigint")
 
 
-def fraction_cutoffs(df: DataFrame, source: str, value: str, keep: tuple[int, int] = (3, 10), block_values: int = BLOCK_VALUES, sort_values: int = SORT_VALUES) -> DataFrame:
+def fraction_cutoffs(df: DataFrame, source: str, value: str, keep: tuple[int, int] = (3, 10), block_values: int = BLOCK_VALUES, halvings: int = HALVINGS) -> DataFrame:
     """For each source the smallest value at or below which at least ``keep`` (a fraction num / den) of its records lie.
 
     Returns (source, n_total, cutoff, n_kept): n_kept counts the records at or below the cutoff, ties included, so it
     may exceed the target. NULL and NaN values are no records; a NULL source is a source of its own; a source without a
     record gives no row, and so does an empty table. Repeated rows count each. Only the two named columns are read.
 
-    Quickselect over all sources at once. Equal values are first collapsed into one weighted row, and each source's
-    values are spread by hash over blocks of at most ``block_values`` distinct ones. Each round, the weighted median of
-    each block is taken, the weighted median of those becomes the source's pivot, the records below and at the pivot
-    are counted in each block, and the side that can't hold the target rank is discarded. The round's state is written
-    to the shared folder. Sources with ``sort_values`` or fewer open values leave the rounds and are ranked by one
-    bounded window. The driver sees one count a round.
+    Quickselect over all sources at once. Equal values are first collapsed into one weighted row, and each source's values
+    are spread by hash over blocks of about ``block_values`` distinct ones. In each round a block gives its weighted median,
+    the medians of its halves, and so on through ``halvings`` levels; for each of these the weighted median over the blocks
+    of a source is a pivot. The records between and at the pivots are counted, and all but the stretch that holds the target
+    rank are discarded. A source leaves the rounds when that stretch is a single value. Every round drops at least one value
+    of every source. No source is decided in any other way, whatever its size.
+
+    What goes by source alone are rows of blocks, pivots and counts, never of values. The state of a round is written to
+    the shared folder and that of the round before deleted. The driver sees one emptiness test a round.
     """
+    spark = df.sparkSession
     num, den = keep
     weighted = df.select(F.col(source).alias("g"), F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    weighted = weighted.withColumn("v", F.col("v") + F.lit(0.0)).groupBy("g", "v").agg(F.count(F.lit(1)).alias("w"))
-    weighted = checkpointed(weighted)
-    sizes = weighted.groupBy("g").agg(F.sum("w").alias("n"), F.count(F.lit(1)).alias("m"))
-    # h stands for g where NULL must be equal to NULL in joins.
-    sizes = sizes.withColumn("k", _rank(num, den, F.col("n"))).withColumn("blocks", F.ceil(F.col("m") / F.lit(block_values)).cast("int"))
-    open_ = weighted.join(sizes.withColumnRenamed("g", "g2"), F.col("g").eqNullSafe(F.col("g2"))).drop("g2")
-    open_ = open_.select("g", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("b"), "v", "w", "n", "k", F.lit(0).cast("bigint").alias("below"), "m").repartition("g", "b")
-    small: list[DataFrame] = []
+    # h is the key of joins: it tells a NULL source from all others.
+    weighted = weighted.withColumn("v", F.col("v") + F.lit(0.0)).groupBy("g", "v").agg(F.count(F.lit(1)).alias("w")).withColumn("h", F.coalesce(F.concat(F.lit("="), F.col("g").cast("string")), F.lit("")))
+    weighted = checkpointed(weighted.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(PARTS)).cast("int")).repartition("h", "part"))
+    of_source = Window.partitionBy("h")
+    parts = weighted.groupBy("h", "part").agg(F.first("g").alias("g"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("m"))
+    parts = checkpointed(parts.withColumn("n", F.sum("w").over(of_source)).withColumn("blocks", F.ceil(F.sum("m").over(of_source) / F.lit(block_values)).cast("int")))
+    # Sources yet to be decided: the number of their records, the target rank, and the records below what is open.
+    goals = parts.groupBy("h").agg(F.first("g").alias("g"), F.first("n").alias("n")).withColumn("k", _rank(num, den, F.col("n"))).withColumn("below", F.lit(0).cast("bigint"))
+    block = F.pmod(F.xxhash64("v", F.lit(1)), F.col("blocks")).cast("int")
+    start = mark(spark)
+    state = checkpointed(weighted.join(parts.select("h", "part", "blocks"), ["h", "part"]).select("h", block.alias("b"), "v", "w").repartition("h", "b"))
+    fractions = F.array(*[F.lit(i / 2**halvings) for i in range(1, 2**halvings)])
+    done: list[DataFrame] = []
     while True:
-        state = checkpointed(open_)
-        small.append(state.where(F.col("m") <= sort_values))
-        rest = state.where(F.col("m") > sort_values)
-        if rest.isEmpty():
+        medians = state.groupBy("h", "b").agg(F.percentile("v", fractions, F.col("w")).alias("q"), F.sum("w").alias("bw"))
+        each = medians.select("h", "b", "bw", F.posexplode("q").alias("j", "med"))
+        alike = Window.partitionBy("h", "j")
+        upto = F.sum("bw").over(alike.orderBy("med", "b").rowsBetween(Window.unboundedPreceding, 0))
+        each = each.withColumn("upto", upto).withColumn("all", F.sum("bw").over(alike))
+        pivots = each.where(F.col("upto") * 2 >= F.col("all")).groupBy("h", "j").agg(F.min("med").alias("p")).groupBy("h").agg(F.array_sort(F.collect_set("p")).alias("p"))
+        by_block = medians.select("h", "b").join(pivots, "h")
+        # Odd stretches are the pivots themselves, even ones what lies between them.
+        stretch = F.size(F.filter("p", lambda x: x < F.col("v"))) * 2 + F.array_contains("p", F.col("v")).cast("int")
+        counts = state.join(by_block, ["h", "b"]).groupBy("h", stretch.alias("s")).agg(F.sum("w").alias("w"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        counts = counts.join(goals, "h").withColumn("upto", F.col("below") + F.sum("w").over(of_source.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)))
+        found = checkpointed(counts.where((F.col("upto") >= F.col("k")) & (F.col("upto") - F.col("w") < F.col("k"))).select("h", "g", "n", "k", (F.col("upto") - F.col("w")).alias("below"), "upto", "lo", "hi"))
+        done.append(found.where("lo = hi").select("g", "n", "lo", "upto"))
+        goals = found.where("lo < hi")
+        if goals.isEmpty():
             break
-        by_source = Window.partitionBy("g").orderBy("med", "b").rowsBetween(Window.unboundedPreceding, 0)
-        all_of_source = Window.partitionBy("g")
-        medians = rest.groupBy("g", "b").agg(F.percentile("v", F.lit(0.5), F.col("w")).alias("med"), F.sum("w").alias("bw"))
-        # The weighted median of block medians: the first whose cumulated weight reaches half of the source's open weight.
-        ranked = medians.withColumn("cum", F.sum("bw").over(by_source)).withColumn("all", F.sum("bw").over(all_of_source))
-        pivots = ranked.withColumn("p", F.min(F.when(F.col("cum") * 2 >= F.col("all"), F.col("med"))).over(all_of_source)).select(F.col("g").alias("g2"), F.col("b").alias("b2"), "p")
-        same = F.col("g").eqNullSafe(F.col("g2")) & (F.col("b") == F.col("b2"))
-        one = lambda test: F.sum(F.when(test, F.col("w")).otherwise(0))
-        two = lambda test: F.sum(F.when(test, 1).otherwise(0))
-        lt, eq, gt = F.col("v") < F.col("p"), F.col("v") == F.col("p"), F.col("v") > F.col("p")
-        counts = rest.join(pivots, same).groupBy("g", "b").agg(one(lt).alias("lt"), one(eq).alias("eq"), two(lt).alias("mlt"), two(gt).alias("mgt"), F.first("k").alias("k"), F.first("below").alias("below"), F.first("p").alias("p"))
-        for c in ("lt", "eq", "mlt", "mgt"):
-            counts = counts.withColumn(c, F.sum(c).over(all_of_source))
-        upto = F.col("below") + F.col("lt")
-        side = F.when(upto >= F.col("k"), -1).when(upto + F.col("eq") >= F.col("k"), 0).otherwise(1)
-        decided = counts.withColumn("side", side).select(
-            F.col("g").alias("g2"),
-            F.col("b").alias("b2"),
-            "p",
-            "side",
-            F.when(F.col("side") < 0, F.col("below")).when(F.col("side") == 0, upto).otherwise(upto + F.col("eq")).alias("to"),
-            F.when(F.col("side") < 0, F.col("mlt")).when(F.col("side") > 0, F.col("mgt")).otherwise(1).alias("m2"),
-        )
-        # Of a source whose pivot is its cutoff just that value stays, and goes to the ranking below.
-        kept = rest.join(decided, same).where(F.when(F.col("side") < 0, lt).when(F.col("side") > 0, gt).otherwise(eq))
-        open_ = kept.select("g", "b", "v", "w", "n", "k", F.col("to").alias("below"), F.col("m2").alias("m"))
-    ends = small[0]
-    for s in small[1:]:
-        ends = ends.unionAll(s)
-    order = Window.partitionBy("g").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ends = ends.withColumn("cum", F.col("below") + F.sum("w").over(order)).where((F.col("cum") >= F.col("k")) & (F.col("cum") - F.col("w") < F.col("k"))).select("g", "n", "v", "cum")
-    return ends.select(F.col("g").alias(source), F.col("n").alias("n_total"), F.col("v").alias("cutoff"), F.col("cum").alias("n_kept"))
+        bounds = medians.select("h", "b").join(goals.select("h", "lo", "hi"), "h")
+        here = mark(spark)
+        kept = checkpointed(state.join(bounds, ["h", "b"]).where(F.col("v").between(F.col("lo"), F.col("hi"))).select("h", "b", "v", "w"))
+        release(spark, start, start + 1)
+        state, start = kept, here
+        goals = goals.select("h", "g", "n", "k", "below")
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionAll(more)
+    return out.select(F.col("g").alias(source), F.col("n").alias("n_total"), F.col("lo").alias("cutoff"), F.col("upto").alias("n_kept"))

@@ -26,7 +26,8 @@ def test_rounds_of_quickselect_against_sorting(spark):
     rows = [("hot", rng.choice([rng.random(), 0.0, 0.5])) for _ in range(3000)] + [(f"s{i % 9}", round(rng.gauss(0, 3), 2)) for i in range(1500)]
     rows += [(None, float(i)) for i in range(50)]
     for keep in ((3, 10), (1, 1), (1, 1000), (1, 2)):
-        assert run(spark, rows, keep, block_values=200, sort_values=4) == brute(rows, *keep)
+        assert run(spark, rows, keep, block_values=200) == brute(rows, *keep)
+    assert run(spark, rows[-900:], block_values=200, halvings=1) == brute(rows[-900:], 3, 10)
 
 
 def test_defined_cases(spark):
@@ -37,4 +38,4 @@ def test_defined_cases(spark):
 
 def test_all_values_equal_and_even_pivots(spark):
     rows = [("a", 2.0)] * 500 + [("b", float(i % 2)) for i in range(400)] + [("c", float(i)) for i in range(100)]
-    assert run(spark, rows, sort_values=1) == brute(rows, 3, 10)
+    assert run(spark, rows) == brute(rows, 3, 10)
