@@ -126,12 +126,17 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 PROMPTS = ("task_spec", "guideline", "dataset_card", "device_log")
 
 
+def batches(docs: DataFrame, prompts: tuple[str, ...] = PROMPTS, capacity: int = 2048, segments: int = 256, loss_limit: int = 1536) -> DataFrame:
+    """Documents (doc_id, text, source) packed by tokens of byte_bpe_50k; those of the sources ``prompts`` bear no loss, all others in full."""
+    docs = docs.select(F.struct("doc_id", F.coalesce(~F.col("source").isin(*prompts), F.lit(True)).alias("answer")).alias("id"), "text")
+    sized = token_counts(docs, "id", "text").select(F.col("id.doc_id").alias("id"), "n_tokens", F.when(F.col("id.answer"), F.col("n_tokens")).otherwise(0).alias("n_loss"))
+    return packed(sized, capacity, segments, loss_limit).withColumnRenamed("id", "doc_id")
+
+
 @query("p7_batches")
 def p7_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents in batches of 2,048 tokens of byte_bpe_50k, with at most 256 segments and 1,792 loss-bearing tokens."""
-    docs = load(spark, sf_dir, "documents").select(F.struct("doc_id", F.coalesce(~F.col("source").isin(*PROMPTS), F.lit(True)).alias("answer")).alias("id"), "text")
-    sized = token_counts(docs, "id", "text").select(F.col("id.doc_id").alias("id"), "n_tokens", F.when(F.col("id.answer"), F.col("n_tokens")).otherwise(0).alias("n_loss"))
-    return packed(sized).select(F.col("id").alias("doc_id"), "start", "n_tokens", "batch")
+    """The documents in batches of 2,048 tokens of byte_bpe_50k, with at most 256 segments and 1,536 loss-bearing tokens."""
+    return batches(load(spark, sf_dir, "documents"))
 
 
 @query("p4_found")
