@@ -205,8 +205,14 @@ def boxes(spark, sf_dir):
 def j21(spark, sf_dir):
     """Boxes of each second that no better one overlaps by half."""
     b = boxes(spark, sf_dir).withColumn("second", F.floor(F.col("frame") / 10).cast("bigint"))
-    pick = lambda p: folds.suppressed(p[["x1", "y1", "x2", "y2"]].to_numpy(), p.score.to_numpy())
-    return kept_rows(b, ["episode", "second"], ["event_id"], pick, ["episode", "second", "event_id"])
+    columns = ["episode", "second", "event_id"]
+
+    def f(p, at):
+        corners = np.column_stack([folds.numbers(p, x) for x in ("x1", "y1", "x2", "y2")])
+        kept = p.take(folds.suppressed_by_group(corners, folds.numbers(p, "score"), at))
+        return {c: kept.column(c).combine_chunks() for c in columns}
+
+    return folds.blocked(b, columns[:2], ["event_id"], f, "episode STRING, second BIGINT, event_id BIGINT")
 
 
 @query("t1_tracks")
