@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -185,13 +186,18 @@ def j9(spark, sf_dir):
     c = contacts(spark, sf_dir).select("episode", "side", "type", F.lit(1).alias("seen"), F.col("event_id").alias("id"), "t")
     labelled = g.select("episode", "side", "type").distinct()
 
-    def f(p):
-        a, b = p[p.seen == 0], p[p.seen == 1]
-        out = folds.greedy_nearest(a.t.tolist(), b.t.tolist(), 0.15)
-        return pd.DataFrame({"gold_event_id": [a.id.iloc[i] for i, _ in out], "event_id": [b.id.iloc[j] for _, j in out]}, dtype="int64")
+    def f(p, at):
+        seen, t, ids = folds.numbers(p, "seen"), folds.numbers(p, "t"), p.column("id").combine_chunks()
+        gold, found = [], []
+        for a, z in zip(at, at[1:]):
+            m = a + np.searchsorted(seen[a:z], 1)
+            for i, j in folds.greedy_nearest(t[a:m].tolist(), t[m:z].tolist(), 0.15) if a < m < z else ():
+                gold.append(a + i)
+                found.append(m + j)
+        return {"gold_event_id": ids.take(pa.array(gold, pa.int64())), "event_id": ids.take(pa.array(found, pa.int64()))}
 
     keys = ["episode", "side", "type"]
-    return folds.grouped(g.unionByName(c.join(labelled, keys, "left_semi")), keys, ["seen", "t", "id"], f, "gold_event_id BIGINT, event_id BIGINT")
+    return folds.blocked(g.unionByName(c.join(labelled, keys, "left_semi")), keys, ["seen", "t", "id"], f, "gold_event_id BIGINT, event_id BIGINT")
 
 
 def boxes(spark, sf_dir):
