@@ -89,6 +89,24 @@ def troughs(m, depth, gap=0.0):
     return [(t[i], v[i]) for i in folds.prominent_minima(v, t, depth, gap)]
 
 
+def by_episode(rows, f, schema):
+    """The rows that ``f`` gives for each episode's intervals and its samples (time, level), with the episode; ``schema`` is that of f's rows."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def block(p, at):
+        kind, a, z, v = (folds.numbers(p, c) for c in ("kind", "a", "z", "v"))
+        first, out = [], []
+        for i, j in zip(at, at[1:]):
+            m = i + np.searchsorted(kind[i:j], 1)
+            own = f(list(zip(a[i:m].tolist(), z[i:m].tolist())), list(zip(a[m:j].tolist(), v[m:j].tolist())))
+            first += [i] * len(own)
+            out += own
+        columns = zip(*out) if out else [[] for _ in names]
+        return {"episode": p.column("episode").combine_chunks().take(pa.array(first, pa.int64())), **dict(zip(names, columns))}
+
+    return folds.blocked(rows, ["episode"], ["kind", "a", "z", F.asc_nulls_last("v")], block, f"episode STRING, {schema}")
+
+
 @query("w18_banded")
 def w18(spark, sf_dir):
     """The spans of each episode brought into the band of durations."""
@@ -106,13 +124,11 @@ def w18(spark, sf_dir):
 def w19(spark, sf_dir):
     """The starts of each episode's spans as boundaries, moved to speed minima."""
 
-    def f(p):
-        s, m = split(p)
-        out = folds.refined(sorted({a for a, _ in s}), m, troughs(m, 0.06))
-        return pd.DataFrame({"episode": [p.episode.iloc[0]] * len(out), "boundary": [b for b, _, _ in out], "candidates": [n for _, n, _ in out], "reason": [r for _, _, r in out]})
+    def f(s, m):
+        return folds.refined(sorted({a for a, _ in s}), m, troughs(m, 0.06))
 
     rows = spans(spark, sf_dir).where("end_ts > start_ts")
-    return folds.grouped(with_minima(spark, sf_dir, rows), ["episode"], ["kind", "a", "z", "v"], f, "episode STRING, boundary DOUBLE, candidates BIGINT, reason STRING")
+    return by_episode(with_minima(spark, sf_dir, rows), f, "boundary DOUBLE, candidates BIGINT, reason STRING")
 
 
 #: What a span and a caption both say of an activity.
