@@ -164,12 +164,16 @@ def matrix(p):
 def j8(spark, sf_dir):
     """One-to-one pairs of spans and captions by descending overlap."""
 
-    def f(p):
-        m, rows, cols = matrix(p)
-        out = folds.greedy_pairs(m, 0.3)
-        return pd.DataFrame({"span_id": [rows[i] for i, _ in out], "record_id": [cols[j] for _, j in out], "iou": [m[x] for x in out]})
+    def f(p, at):
+        kept = []
+        span, record = (p.column(c).to_pylist() for c in ("span_id", "record_id"))
+        for a, z in zip(at, at[1:]):
+            kept += [a + k for k in folds.unmatched(zip(span[a:z], record[a:z]))]
+        taken = p.take(pa.array(kept, pa.int64()))
+        return {c: taken.column(c).combine_chunks() for c in ("span_id", "record_id", "iou")}
 
-    return folds.grouped(overlapping(spark, sf_dir).drop("pair_score"), ["segment"], ["a", "span_id", "ca", "record_id"], f, "span_id STRING, record_id BIGINT, iou DOUBLE")
+    pairs = overlapping(spark, sf_dir).drop("pair_score").where("iou >= 0.3 AND NOT isnan(iou)")
+    return folds.blocked(pairs, ["segment"], [F.desc("iou"), "a", "span_id", "ca", "record_id"], f, "span_id STRING, record_id BIGINT, iou DOUBLE")
 
 
 @query("a16_monotone_alignment")
