@@ -11,30 +11,28 @@ from epiloom.config import DEFAULT, Settings
 from epiloom.operators import aggregates as A
 from epiloom.operators import folds, joins
 from epiloom.operators import signal as S
-from epiloom.plans.ordered import split, troughs, with_minima
+from epiloom.plans.ordered import by_episode, troughs, with_minima
 from epiloom.plans.records import Q, clips, spans
 from epiloom.plans.registry import fixed, query, sql_fixed
 from epiloom.plans.signals import CE, KEYS, ORDER, contacts
 from epiloom.plans.timejoins import rejected
-from epiloom.session import load
+from epiloom.session import load, stored
 
 
 def built_spans(spark, sf_dir: str, cfg: Settings = DEFAULT) -> DataFrame:
     """Spans from speed troughs: banded, refined, gated by quality, with the events each holds."""
 
-    def f(p: pd.DataFrame) -> pd.DataFrame:
-        s, m = split(p)
-        low = troughs(m, cfg.trough_depth, cfg.trough_gap_s)
-        parts = folds.banded(s, m, troughs(m, cfg.trough_depth * 0.35), cfg.low_s, cfg.high_s)
+    def f(s: list, m: list) -> list[tuple[float, float]]:
+        samples, low, all_low = folds.Levels(m), folds.Levels(troughs(m, cfg.trough_depth, cfg.trough_gap_s)), folds.Levels(troughs(m, cfg.trough_depth * 0.35))
         out = []
-        for a, z in parts:
-            b = [x for x, _, _ in folds.refined([a - cfg.high_s, a, z, z + cfg.high_s], m, low, cfg.shift_s, cfg.low_s, 2 * cfg.high_s)]
-            out.append((p.episode.iloc[0], *((b[1], b[2]) if cfg.low_s <= b[2] - b[1] <= cfg.high_s else (a, z))))
-        return pd.DataFrame(out, columns=["episode", "a", "z"])
+        for a, z in folds.banded(s, samples, all_low, cfg.low_s, cfg.high_s):
+            b = [x for x, _, _ in folds.refined([a - cfg.high_s, a, z, z + cfg.high_s], samples, low, cfg.shift_s, cfg.low_s, 2 * cfg.high_s)]
+            out.append((b[1], b[2]) if cfg.low_s <= b[2] - b[1] <= cfg.high_s else (a, z))
+        return out
 
     rows = spans(spark, sf_dir).where("end_ts > start_ts")
-    made = folds.grouped(with_minima(spark, sf_dir, rows), ["episode"], ["kind", "a", "z", "v"], f, "episode STRING, a DOUBLE, z DOUBLE").distinct()
-    made = made.withColumn("id", F.concat("episode", F.lit("@"), F.format_string("%012.6f", "a"), F.lit("-"), F.format_string("%012.6f", "z")))
+    made = by_episode(with_minima(spark, sf_dir, rows), f, "a DOUBLE, z DOUBLE").distinct()
+    made = stored(made.withColumn("id", F.concat("episode", F.lit("@"), F.format_string("%012.6f", "a"), F.lit("-"), F.format_string("%012.6f", "z"))))  # read three times
     bad = joins.overlap_fraction(made, rejected(spark, sf_dir), ["episode"], ("a", "z"), ("ba", "bz"), "id", 4.0).select("id", "bad_fraction")
     held = joins.points_in_intervals(contacts(spark, sf_dir).select("episode", "t", "type"), made, ["episode"], "t", "a", "z", 4.0).groupBy("id").agg(F.count_if(F.col("type") == "contact").alias("contacts"), F.count_if(F.col("type") == "release").alias("releases"))
     out = made.join(bad, "id").join(held, "id", "left")
